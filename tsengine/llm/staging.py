@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 LOCAL_FOLDER = "/tmp/checkpoints/tsengine"
 
 
@@ -47,3 +49,9 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = jvm.org.apache.hadoop.fs.Path(file)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow whose workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

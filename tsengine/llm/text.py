@@ -109,7 +109,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
     out = np.zeros(len(first), U)
     last = max(len(hashes) - 1, 0)
     for k in range(size):
-        term = mix(hashes[np.minimum(first + k, last)] + U(k + 1) * U(0x632BE59BD9B4E019)) if len(hashes) else out
+        term = mix(hashes[np.minimum(first + k, last)] + U((k + 1) * 0x632BE59BD9B4E019 % 2**64)) if len(hashes) else out
         out = np.where(k < width, out * U(0x100000001B3) + term, out)
     return mix(out + width.astype(U)), out_offsets
 
