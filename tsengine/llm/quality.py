@@ -74,18 +74,19 @@ def context_table(docs: DataFrame) -> np.ndarray:
 def pooled(column: pa.Array, contexts: np.ndarray) -> np.ndarray:
     """A row of features for each text: mean index and context vectors of its tokens, of its distinct ones, and sizes."""
     slots, offsets = tokens(column)
-    unique, unique_offsets = tx.distinct(slots.astype(tx.U), offsets)
-    n, m = np.diff(offsets), np.diff(unique_offsets)
-
-    def mean(values: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(counts), values.shape[1]))
-        some = np.flatnonzero(counts)
-        if len(some):
-            total[some] = np.add.reduceat(values, at[:-1][some], axis=0, dtype=np.float64)
-        return total / np.maximum(counts, 1)[:, None]
-
-    distinct = unique.astype(np.int64)
-    return np.hstack([mean(INDEX[slots], offsets, n), mean(contexts[slots], offsets, n), mean(INDEX[distinct], unique_offsets, m), np.log1p(n)[:, None], np.log1p(m)[:, None], (m / np.maximum(n, 1))[:, None]])
+    rows = len(offsets) - 1
+    key, times = np.unique(tx.row_of(offsets) * BUCKETS + slots, return_counts=True)
+    slot, at = key % BUCKETS, np.searchsorted(key // BUCKETS, np.arange(rows + 1))
+    n, m = np.diff(offsets), np.diff(at)
+    some = np.flatnonzero(m)
+    sums = np.zeros((rows, 3 * DIM), np.float32)
+    if len(some):
+        index, weight = INDEX[slot], times.astype(np.float32)[:, None]
+        for k, values in enumerate((index * weight, contexts[slot] * weight, index)):
+            sums[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(values, at[:-1][some], axis=0)
+    sums[:, : 2 * DIM] /= np.maximum(n, 1)[:, None]
+    sums[:, 2 * DIM :] /= np.maximum(m, 1)[:, None]
+    return np.hstack([sums, np.log1p(n)[:, None], np.log1p(m)[:, None], (m / np.maximum(n, 1))[:, None]])
 
 
 FEATURES = 3 * DIM + 3

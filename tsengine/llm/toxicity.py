@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,9 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def present(slots: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct slots."""
-    key = np.unique(texts.astype(np.int64) * BUCKETS + slots)
+    """Each text's distinct slots, by text and slot where they are few, else in no order."""
+    key = texts.astype(np.int64) * BUCKETS + slots
+    key = np.unique(key) if len(key) < 65_536 else pd.unique(key)
     return (key % BUCKETS).astype(np.int32), (key // BUCKETS).astype(np.int32)
 
 
@@ -72,6 +74,8 @@ def _finder(slots):
                 found, texts = ngrams(piece.column("text"))
                 hit = place[found] >= 0
                 found, texts = present(found[hit], texts[hit])
+                order = np.lexsort((found, texts))
+                found, texts = found[order], texts[order]
                 at = np.searchsorted(texts, np.arange(piece.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(place[found]))], ["doc_id", "y", "x"])
 
