@@ -10,12 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import apply_bitmaps, line_bitmaps
 
@@ -42,7 +54,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_minhash_dedup, op6_quality, op7_toxicity, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op4_exact_dedup, op5_minhash_dedup, op6_quality, op7_toxicity, op8_best_fit_packing, op9_line_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL = {
