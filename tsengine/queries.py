@@ -123,8 +123,9 @@ ranged("range_resample_step", "event_value", with_("ev") + shown("ev", resampled
 for _op, _sql in GROUP_SQL.items():
     _call = "quantile(0.9, event_value)" if _op == "quantile" else f"{_op}(event_value)"
     instant(f"agg_{_op}_by", f"{_call} by (event_type)", with_("ev") + f"SELECT event_type, max(ts) AS ts, round({_sql}, 6) AS value FROM ({last('ev')}) GROUP BY event_type")
-    # thousands keep the squares' sums within what six decimals can compare
-    ranged(f"range_agg_{_op}", _call.replace("event_value", "order_totalprice / 1000") + " by (status)", with_("op") + f"SELECT status, ts, round({_sql.replace('value', '(value / 1000)')}, 6) AS value FROM op WHERE ts BETWEEN {OLD} AND {NEW} GROUP BY status, ts", OLD, NEW)
+    # squares of thousands keep within what six decimals can compare
+    _of, _in = ("order_totalprice / 1000", "(value / 1000)") if _op.startswith("std") else ("order_totalprice", "value")
+    ranged(f"range_agg_{_op}", _call.replace("event_value", _of) + " by (status)", with_("op") + f"SELECT status, ts, round({_sql.replace('value', _in)}, 6) AS value FROM op WHERE ts BETWEEN {OLD} AND {NEW} GROUP BY status, ts", OLD, NEW)
 instant("agg_group_by", "group(event_value) by (event_type)", with_("ev") + f"SELECT event_type, max(ts) AS ts, CAST(1 AS DOUBLE) AS value FROM ({last('ev')}) GROUP BY event_type")
 instant("agg_count_values_by", 'count_values("price", line_quantity) by (returnflag)', with_("lq") + f"SELECT returnflag, printf('%.6f', value) AS price, max(ts) AS ts, CAST(count(*) AS DOUBLE) AS value FROM ({last('lq')}) GROUP BY ALL")
 instant("agg_sum_all", "sum(event_value)", with_("ev") + f"SELECT max(ts) AS ts, round(sum(value), 6) AS value FROM ({last('ev')})")
