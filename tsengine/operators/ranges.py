@@ -26,7 +26,6 @@ def number_min(value: Column) -> Column:
     return F.coalesce(F.min(F.when(~F.isnan(value), value)), F.min(value))
 
 
-_V = F.col
 SIMPLE = {
     "sum_over_time": lambda: F.sum("value"),
     "avg_over_time": lambda: F.avg("value"),
@@ -83,5 +82,5 @@ def whole(v: Vector, function: str, at: int, q: float | None = None) -> Vector:
     if function in ("rate", "irate"):
         w = Window.partitionBy(*(v.columns or [F.lit(0)])).orderBy("ts")
         df = df.withColumns({"before_ts": F.lag("ts").over(w), "before": F.lag("value").over(w)})
-    df = df.groupBy(*v.columns).agg(aggregate(function, q).alias("value")).where("value is not null")
+    df = df.groupBy(*(v.columns or [F.lit(0).alias("__all")])).agg(aggregate(function, q).alias("value")).drop("__all").where("value is not null")
     return Vector(df.withColumns({"t": F.lit(int(at)).cast("long"), "ts": F.lit(int(at)).cast("long")}), v.labels)

@@ -33,7 +33,8 @@ def select(source, name: str, matchers: tuple[Matcher, ...], low: int | None, hi
 
 def latest(v: Vector, at: int, shift: int = 0) -> Vector:
     """Each series' last sample, however old, evaluated at a time; ts is the sample's own."""
-    df = v.df.groupBy(*v.columns).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    # a series without labels is a group all the same, so that no sample means no row
+    df = v.df.groupBy(*(v.columns or [F.lit(0).alias("__all")])).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value")).drop("__all")
     return Vector(df.withColumns({"ts": F.col("ts") - F.lit(shift), "t": F.lit(int(at)).cast("long")}), v.labels, v.name)
 
 

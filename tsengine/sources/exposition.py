@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LINE = r"^\s*([A-Za-z_:][\w:.]*)\s*(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
-_PAIR = r'([A-Za-z_][\w.]*)\s*=\s*"((?:[^"\\\\]|\\\\.)*)"'
+_PAIR = r'([A-Za-z_][\w.]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 _NUMBER = r"^[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|[Ii]nf|NaN|nan)$"
 
 
@@ -71,8 +71,13 @@ def target_labels(metric: Column, job: str, instance: str, static: dict | None =
     return F.map_concat(rest, own, F.create_map(F.lit("job"), F.lit(job), F.lit("instance"), F.lit(instance)))
 
 
+def _number_text(value: Column) -> Column:
+    inf = F.lit(float("inf"))
+    return F.when(value == inf, "+Inf").when(value == -inf, "-Inf").otherwise(value.cast("string"))
+
+
 def write_text(samples: DataFrame) -> DataFrame:
     """Lines (value) in the exposition format."""
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
     inner = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit(""))
-    return samples.select(F.concat(F.col("name"), inner, F.lit(" "), F.col("value").cast("string"), F.lit(" "), F.col("ts").cast("string")).alias("value"))
+    return samples.select(F.concat(F.col("name"), inner, F.lit(" "), _number_text(F.col("value")), F.lit(" "), F.col("ts").cast("string")).alias("value"))
