@@ -2,10 +2,11 @@
 
 1. One Arrow pass makes, for each document, a fingerprint of its shingle set, the keys of its MinHash bands and an odd
    sketch: every MinHash sample flips one bit of a `SKETCH_BITS` bitmap, so the XOR of two sketches has at most as many
-   set bits as the samples that differ, and for similar sets hardly fewer.
+   set bits as the samples that differ, and for similar sets hardly fewer. A larger one folds all shingles of the set.
 2. Documents with equal sets form classes; only class representatives go on.
 3. Star pairs: each band's bucket pairs its members with its smallest member. The pairs whose sketches could belong to
-   similar sets (a bound that a true link fails with probability `MISS`) are confirmed on the full sets of their texts.
+   similar sets (bounds that a true link fails with probability `MISS`) are confirmed on the full sets of their texts.
+   The samples' sketch decides cheaply; the set's leaves hardly any pair that is not similar.
 4. Connected components over confirmed links. Buckets whose members then lie in one component are settled, as further
    links inside could not change it. In the rest, all pairs across components are compared by sketch, in blocks of
    bounded size, within tasks; only pairs that pass are emitted and confirmed. That is the exact way for large buckets:
@@ -30,6 +31,8 @@ from .staging import arrow_map, stage
 
 U = np.uint64
 SKETCH_BITS = 512
+#: Bits of a second sketch, of all shingles of a set.
+SET_BITS = 2048
 MISS = 1e-7
 #: Members of a block of a bucket: a task compares two such blocks at a time.
 BLOCK = 1024
@@ -71,13 +74,40 @@ def estimate(bits: np.ndarray, samples: int) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * samples) * np.log(1 - 2 * full)
 
 
+#: Standard deviations that a set sketch's count may lie above its mean: a probability of about MISS.
+SIGMAS = 5.3
+
+
+def allowed_set_bits(total, plan: Plan, f=np):
+    """The most bits in which the set sketches of a link differ, for sets of total shingles together.
+
+    A link's sets differ in at most (den - num) / (den + num) of their shingles, and each flips one bit, so their number
+    is a bound; where many shingles share bits, mean and variance of the odd bits give a lower one. f is numpy, or
+    pyspark.sql.functions for columns.
+    """
+    power = f.power if f is np else f.pow
+    lit = (lambda x: x) if f is np else f.lit
+    least = f.minimum if f is np else f.least
+    most = f.maximum if f is np else f.greatest
+    differ = f.floor(total * (plan.den - plan.num) / (plan.den + plan.num))
+    two, four = power(lit(1 - 2 / SET_BITS), differ), power(lit(1 - 4 / SET_BITS), differ)
+    variance = SET_BITS / 4 * (1 - four) + SET_BITS**2 / 4 * (four - two * two)
+    return least(differ * 1.0, SET_BITS / 2 * (1 - two) + SIGMAS * f.sqrt(most(variance, lit(1.0))) + 2)
+
+
 def _sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tx.flat(column)
     return tx.distinct(*tx.shingles(*tx.words(data, offsets, ~tx.SPACE), words))
 
 
+def _fold(values: np.ndarray, rows: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Parity bitmaps of each row's values."""
+    flips = np.bincount((values % U(bits)).astype(np.int64) + rows * bits, minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def _summaries(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches (rows x SKETCH_BITS / 64) and band keys (rows x bands) of non-empty sets."""
+    """Sketches (rows x SKETCH_WORDS, of samples and then of the set) and band keys (rows x bands) of non-empty sets."""
     rng = np.random.default_rng(11)
     odd, xor = rng.integers(1, 2**64, plan.samples, dtype=U) | U(1), rng.integers(1, 2**64, plan.samples, dtype=U)
     n = len(offsets) - 1
@@ -85,15 +115,15 @@ def _summaries(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.
     for j in range(plan.samples):
         least[j] = np.minimum.reduceat((values ^ xor[j]) * odd[j], offsets[:-1])
     least = tx.mix(least + np.arange(plan.samples, dtype=U)[:, None] * U(0x9E3779B97F4A7C15))
-    bit = (least % U(SKETCH_BITS)).astype(np.int64) + np.arange(n) * SKETCH_BITS
-    flips = np.bincount(bit.ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    sketches = np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    sketches = np.hstack([_fold(least.T.ravel(), np.repeat(np.arange(n), plan.samples), n, SKETCH_BITS), _fold(tx.mix(values + U(9)), tx.row_of(offsets), n, SET_BITS)])
     keys = np.full((plan.bands, n), U(3))
     for r in range(plan.rows):
         keys = tx.mix(keys * U(0x100000001B3) + least[r :: plan.rows])
     return sketches, keys.T
 
 
+SAMPLE_WORDS = SKETCH_BITS // 64
+SKETCH_WORDS = (SKETCH_BITS + SET_BITS) // 64
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, bands array<long>"
 
 
@@ -104,13 +134,13 @@ def _signer(plan: Plan):
                 values, offsets = _sets(piece.column("text"), plan.words)
                 n, some = np.diff(offsets), np.flatnonzero(np.diff(offsets))
                 h1, h2 = np.zeros(len(n), U), np.zeros(len(n), U)
-                sketches, keys = np.zeros((0, SKETCH_BITS // 64), np.int64), np.zeros((0, plan.bands), U)
+                sketches, keys = np.zeros((0, SKETCH_WORDS), np.int64), np.zeros((0, plan.bands), U)
                 if len(some):
                     at = offsets[:-1][some]
                     h1[some], h2[some] = np.add.reduceat(tx.mix(values + U(1)), at), np.add.reduceat(tx.mix(values ^ U(0xABCDEF)), at)
                     sketches, keys = _summaries(values, np.append(at, len(values)), plan)
                 lists = []
-                for width, flat in ((SKETCH_BITS // 64, sketches), (plan.bands, keys)):
+                for width, flat in ((SKETCH_WORDS, sketches), (plan.bands, keys)):
                     at = np.zeros(len(n) + 1, np.int32)
                     np.cumsum((n > 0) * width, out=at[1:])
                     lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(flat).ravel().view(np.int64))))
@@ -144,24 +174,28 @@ def _confirm(pairs: DataFrame, texts: DataFrame, plan: Plan, name: str) -> DataF
     return stage(arrow_map(joined.select("a", "b", "text_a", "text_b"), _confirmer(plan), "a long, b long"), name)
 
 
-def _crosser(most: int):
+def _crosser(plan: Plan):
     """Rows of one (bucket, block pair) follow each other; out come the pairs across components that sketches allow.
 
     A pair of a bucket is compared in just one block pair: within block i in (i, i) and across in (i, j).
     """
 
     def compare(t: pa.Table):
-        cols = {c: t.column(c).to_numpy() for c in ("rep", "comp", "pivot", "block", "i", "j")}
+        cols = {c: t.column(c).to_numpy() for c in ("rep", "comp", "pivot", "block", "i", "j", "n_shingles")}
         sketch = np.vstack(t.column("sketch").to_numpy(zero_copy_only=False)).view(U)
         left = np.flatnonzero(cols["block"] == cols["i"])
         right = left if cols["i"][0] == cols["j"][0] else np.flatnonzero(cols["block"] == cols["j"])
         for k in left:
-            near = np.bitwise_count(sketch[right] ^ sketch[k]).sum(axis=1) <= most
-            near &= (cols["comp"][right] != cols["comp"][k]) & (cols["rep"][right] != cols["pivot"][0])
-            near &= cols["rep"][k] != cols["pivot"][0]
+            if cols["rep"][k] == cols["pivot"][0]:
+                continue
+            near = (cols["comp"][right] != cols["comp"][k]) & (cols["rep"][right] != cols["pivot"][0])
             if right is left:
                 near &= cols["rep"][right] > cols["rep"][k]
-            other = cols["rep"][right[near]]
+            near = right[near]
+            near = near[np.bitwise_count(sketch[near, :SAMPLE_WORDS] ^ sketch[k, :SAMPLE_WORDS]).sum(axis=1) <= plan.most_bits]
+            bits = np.bitwise_count(sketch[near, SAMPLE_WORDS:] ^ sketch[k, SAMPLE_WORDS:]).sum(axis=1)
+            near = near[bits <= allowed_set_bits(cols["n_shingles"][near] + cols["n_shingles"][k], plan)]
+            other = cols["rep"][near]
             if len(other):
                 own = np.full(len(other), cols["rep"][k])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], ["a", "b"])
@@ -201,16 +235,17 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     signed = stage(arrow_map(texts, _signer(plan), SIGNATURE), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(_merged(some, ["n_shingles", "h1", "h2"], "doc_id", [(F.min, "doc_id", "rep")]), "classes")
-    reps = stage(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch", "bands").dropDuplicates(["rep"]), "representatives")
+    reps = stage(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands").dropDuplicates(["rep"]), "representatives")
 
     posted = reps.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", F.xxhash64("band", "hash").alias("key"))
     buckets = _merged(posted, ["key"], "rep", [(F.min, "rep", "pivot"), (F.count, "rep", "n")]).where("n > 1")
     posted = stage(posted.join(buckets, "key"), "buckets")
-    sketches = reps.select("rep", "sketch")
+    sketches = reps.select("rep", "sketch", "n_shingles")
     stars = posted.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    stars = stage(stars.where(bits <= plan.most_bits).select("a", "b"), "stars")
+    stars = stars.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
+    bits = [F.aggregate(F.slice(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), at + 1, n), F.lit(0), lambda s, x: s + x) for at, n in ((0, SAMPLE_WORDS), (SAMPLE_WORDS, SKETCH_WORDS - SAMPLE_WORDS))]
+    stars = stars.where((bits[0] <= plan.most_bits) & (bits[1] <= allowed_set_bits(F.col("na") + F.col("nb"), plan, F)))
+    stars = stage(stars.select("a", "b"), "stars")
     links = _confirm(stars, texts, plan, "links")
     comps = connected_components(links)
 
@@ -219,9 +254,9 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     open_keys = _merged(labelled, ["key"], "rep", [(F.min, "comp", "c0"), (F.max, "comp", "c1")]).where("c0 < c1").select("key")
     rest = labelled.join(open_keys, "key").where("n > 2").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "rep", "comp", "pivot", "sketch")
+    rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "rep", "comp", "pivot", "n_shingles", "sketch")
     dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossed = stage(arrow_map(dealt, _crosser(plan.most_bits), "a long, b long").distinct(), "crossed")
+    crossed = stage(arrow_map(dealt, _crosser(plan), "a long, b long").distinct(), "crossed")
     more = _confirm(crossed, texts, plan, "more-links")
     comps = connected_components(links.unionByName(more))
 
