@@ -30,6 +30,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return tx.mix(out)
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the LENGTH bytes from each start on, independent of the hashes of spans."""
+    if not len(starts):
+        return np.zeros(0, U)
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(U).ravel()
+    out = np.full(len(starts), U(LENGTH))
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        out = (out ^ eight[starts + k]) * U(0xC2B2AE3D27D4EB4F)
+        out ^= out >> U(31)
+    return tx.mix(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, anchor position, first and last window start (positions in data), and gram hash of each run of windows."""
     n = len(data) - LENGTH + 1

@@ -14,8 +14,8 @@ of a corpus would move a hundred bytes for each byte of text, so suffixes are ta
 4. Spans are merged per document and cut out.
 
 Hot anchors: a gram with more than `FEW` distinct contexts in a task sends them by their own hashes, with a note to the
-gram; a gram with more than `MANY` contexts has its contexts sent as single windows, keyed by the window's own hash. So
-neither a common passage nor a common phrase gathers in one task: any key has at most a few rows from each task before.
+gram; a gram with more than `MANY` contexts has its contexts sent as single windows, each as two hashes of its bytes.
+So neither a common passage nor a common phrase gathers in one task: any key has a few rows at most from each task.
 """
 
 from __future__ import annotations
@@ -28,18 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .anchors import GRAM, LENGTH, anchors
+from .anchors import LENGTH, anchors, window_hashes
 from .staging import arrow_map, stage
 from .suffix_sort import deep_shallow
 
 U = np.uint64
-FEW, MANY = 8, 64
+FEW, MANY = 32, 256
 #: Anchors, and bytes of contexts, that a task holds at a time.
 HELD, HELD_BYTES = 1 << 20, 8 << 20
 ANCHOR, HOT, NOTE, SPAN, ASK, ASK_WINDOWS = range(6)
 PLACES = "key long, kind byte, c long, doc long, m long, lo short, n short"
 ORDERS = "doc long, kind byte, key long, a long, b long, lo short"
-TEXTS = "key long, kind byte, doc long, a long, b long, lo short, context binary"
+TEXTS = "key long, c long, kind byte, doc long, a long, b long, lo short, context binary"
 
 
 def merge(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ def _batch(schema: list[tuple[str, pa.DataType]], columns: dict) -> pa.RecordBat
 _L, _S, _B = pa.int64(), pa.int16(), pa.int8()
 PLACE_TYPES = [("key", _L), ("kind", _B), ("c", _L), ("doc", _L), ("m", _L), ("lo", _S), ("n", _S)]
 ORDER_TYPES = [("doc", _L), ("kind", _B), ("key", _L), ("a", _L), ("b", _L), ("lo", _S)]
-TEXT_TYPES = [("key", _L), ("kind", _B), ("doc", _L), ("a", _L), ("b", _L), ("lo", _S), ("context", pa.binary())]
+TEXT_TYPES = [("key", _L), ("c", _L), ("kind", _B), ("doc", _L), ("a", _L), ("b", _L), ("lo", _S), ("context", pa.binary())]
 
 
 def _doc_key(doc: np.ndarray) -> np.ndarray:
@@ -177,20 +177,20 @@ def _contexts(batches):
     held: list[tuple] = []
 
     def flush():
-        h, doc, at, rows = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, earliest, _ = settle(h, h, doc, at)
+        h, c, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, earliest, _ = settle(h, c, doc, at)
         gone, keep = order[~earliest], order[earliest]
-        keep = keep[_runs(h[keep], doc[keep], at[keep])]
+        keep = keep[_runs(h[keep], c[keep], doc[keep], at[keep])]
         d, a, b = merge(doc[gone], at[gone], at[gone] + LENGTH)
-        yield _batch(TEXT_TYPES, {"key": _doc_key(d), "kind": np.full(len(d), SPAN), "doc": d, "a": a, "b": b, "lo": d * 0})
-        yield _batch(TEXT_TYPES, {"key": h[keep].view(np.int64), "kind": np.full(len(keep), ASK_WINDOWS), "doc": doc[keep], "a": at[keep], "b": at[keep] + LENGTH, "lo": keep * 0, "context": [rows[k].tobytes() for k in keep]})
+        yield _batch(TEXT_TYPES, {"key": _doc_key(d), "c": d * 0, "kind": np.full(len(d), SPAN), "doc": d, "a": a, "b": b, "lo": d * 0})
+        yield _batch(TEXT_TYPES, {"key": h[keep].view(np.int64), "c": c[keep].view(np.int64), "kind": np.full(len(keep), ASK_WINDOWS), "doc": doc[keep], "a": at[keep], "b": at[keep] + LENGTH, "lo": keep * 0})
 
     count = 0
     for batch in batches:
         for piece in tx.slices(batch, "text"):
             data, offsets = tx.flat(piece.column("text"))
             asked = piece.column("asked")
-            row = np.repeat(np.arange(piece.num_rows), np.diff(asked.offsets.to_numpy()))
+            row = np.repeat(np.arange(piece.num_rows), _list_sizes(asked))
             kind, key, a, b, lo = (x.to_numpy() for x in asked.flatten().flatten())
             doc = piece.column("doc").to_numpy()[row]
             base = offsets[row]
@@ -198,23 +198,29 @@ def _contexts(batches):
             if len(s):
                 raw = data.tobytes()
                 cut = [raw[x:y] for x, y in zip((base[s] + a[s]).tolist(), (base[s] + b[s]).tolist(), strict=True)]
-                yield _batch(TEXT_TYPES, {"key": key[s], "kind": kind[s], "doc": doc[s], "a": a[s], "b": b[s], "lo": lo[s], "context": cut})
+                yield _batch(TEXT_TYPES, {"key": key[s], "c": s * 0, "kind": kind[s], "doc": doc[s], "a": a[s], "b": b[s], "lo": lo[s], "context": cut})
             s = np.flatnonzero(kind == ASK_WINDOWS)
             if len(s):
                 n = b[s] - a[s] - LENGTH + 1
                 own = np.repeat(s, n)
                 at = a[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 begin = base[own] + at
-                rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begin]
-                held.append((tx.span_hashes(data, begin, begin + LENGTH), doc[own], at, rows))
-                count += rows.nbytes
-                if count >= HELD_BYTES:
+                held.append((tx.span_hashes(data, begin, begin + LENGTH), window_hashes(data, begin), doc[own], at))
+                count += len(own)
+                if count >= HELD:
                     yield from flush()
                     held, count = [], 0
     if count:
         yield from flush()
 
 
+def _list_sizes(lists: pa.Array) -> np.ndarray:
+    """The number of elements of each list; null is none."""
+    if not len(lists):
+        return np.zeros(0, np.int64)
+    return np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
+
+
 WIDTH = 2 * LENGTH
 
 
@@ -241,17 +247,22 @@ def shared(doc: np.ndarray, at: np.ndarray, right: np.ndarray, right_lcp: np.nda
 def _spans(batches):
     kinds = [("doc", _L), ("a", _L), ("b", _L)]
     for t in _by_key(batches, HELD_BYTES, "bytes"):
-        key, kind, doc, a, b, lo = (t.column(k).to_numpy() for k, _ in TEXT_TYPES[:-1])
+        key, c, kind, doc, a, b, lo = (t.column(k).to_numpy() for k, _ in TEXT_TYPES[:-1])
         s = kind == SPAN
         if s.any():
             yield _batch(kinds, {"doc": doc[s], "a": a[s], "b": b[s]})
-        s = np.flatnonzero(~s)
+        s = np.flatnonzero(kind == ASK_WINDOWS)
+        if len(s):
+            order, earliest, _ = settle(key[s], c[s], doc[s], a[s])
+            gone = s[order[~earliest]]
+            d, x, y = merge(doc[gone], a[gone], b[gone])
+            yield _batch(kinds, {"doc": d, "a": x, "b": y})
+        s = np.flatnonzero(kind == ASK)
         if not len(s):
             continue
-        key, kind, doc, a, b, lo = (x[s] for x in (key, kind, doc, a, b, lo.astype(np.int64)))
+        key, doc, a, b, lo = (x[s] for x in (key, doc, a, b, lo.astype(np.int64)))
         context = t.column("context").take(pa.array(s)).to_pylist()
-        # windows and contexts of one key stay apart, as does what shares a key by chance only: the texts differ
-        group = (key.view(U) << U(1)) ^ (kind == ASK_WINDOWS).astype(U)
+        group = key.view(U)
         right, right_lcp = deep_shallow(group, [x[k:] for x, k in zip(context, lo, strict=True)], WIDTH)
         left, left_lcp = deep_shallow(group, [x[:k][::-1] for x, k in zip(context, lo, strict=True)], WIDTH)
         length, anchor = b - a, a + lo
@@ -261,16 +272,6 @@ def _spans(batches):
             if y - x < 2:
                 continue
             r, rl = right[x:y], right_lcp[x:y]
-            if kind[r[0]] == ASK_WINDOWS:
-                same = np.cumsum(np.append(True, rl[1:] < LENGTH))
-                order = np.lexsort((a[r], doc[r], same))
-                first = np.flatnonzero(_runs(same[order]))[same[order] - 1]
-                late = (doc[r[order]] != doc[r[order[first]]]) | (a[r[order]] != a[r[order[first]]])
-                gone = r[order[late]]
-                out_doc.append(doc[gone])
-                out_a.append(a[gone])
-                out_b.append(b[gone])
-                continue
             members = np.sort(r)
             place = lambda o: np.searchsorted(members, o)
             n_left, n_right = shared(doc[members], anchor[members], place(r), rl, place(left[x:y]), left_lcp[x:y])
@@ -286,14 +287,13 @@ def _spans(batches):
             yield _batch(kinds, {"doc": d, "a": x, "b": y})
 
 
-def _cutter(keep_text: bool):
+def _cutter(keep_text: bool, first: str):
     def run(batches):
         for batch in batches:
             for piece in tx.slices(batch, "text"):
                 data, offsets = tx.flat(piece.column("text"))
                 gone = piece.column("gone")
-                counts = np.diff(gone.offsets.to_numpy()) if len(gone) else np.zeros(0, int)
-                counts = np.where(gone.is_null().to_numpy(zero_copy_only=False), 0, counts)
+                counts = _list_sizes(gone)
                 a, b = (x.to_numpy() for x in gone.flatten().flatten())
                 row, a, b = merge(np.repeat(np.arange(piece.num_rows), counts), a, b)
                 removed = np.bincount(row, b - a, piece.num_rows).astype(np.int64)
@@ -311,8 +311,8 @@ def _cutter(keep_text: bool):
                     if keep_text:
                         texts.append(kept)
                         lists.append([{"start": int(a[k]), "stop": int(b[k])} for k in range(at[r], at[r + 1])])
-                columns = [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(at).astype(np.int64)), pa.array(hashes)]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                columns = [piece.column("doc"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(at).astype(np.int64)), pa.array(hashes)]
+                names = [first, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if keep_text:
                     columns += [pa.array(texts, pa.binary()), pa.array(lists, pa.list_(pa.struct([("start", _L), ("stop", _L)])))]
                     names += ["kept", "spans"]
@@ -321,20 +321,22 @@ def _cutter(keep_text: bool):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc (a number that ascends as ids do), doc_id and text.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc (a number that ascends as ids do) and text of every row; and the ids of the numbers, if they are others.
 
     Numbers are the ids themselves unless ids repeat or are null. Then rows are numbered by id (nulls first) and text;
     equal rows share a number, and rows of different texts under one id count as documents one after the other.
     """
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return docs.select(F.col("doc_id").alias("doc"), "text"), None
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", "text", F.sha2(text, 256).alias("sha"))
     ranked = keyed.select("doc_id", "sha").distinct().repartitionByRange("doc_id", "sha").sortWithinPartitions("doc_id", "sha")
-    numbers = stage(ranked.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), "numbers")
-    return stage(keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("doc", "doc_id", "text"), "numbered")
+    numbers = stage(ranked.select(F.monotonically_increasing_id().alias("doc"), "doc_id", F.col("sha").alias("__sha")), "numbers")
+    named = numbers.withColumnRenamed("doc_id", "__id")
+    texts = stage(keyed.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("doc", "text"), "numbered")
+    return texts, numbers.select("doc", "doc_id")
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,15 +347,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
     smaller start. Equal rows under one id are one document and fare alike; different texts under one id count as
     documents in the order of their SHA-256. Other columns are ignored.
     """
-    texts = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    places = arrow_map(texts.select("doc", "text"), _places, PLACES).repartition("key").sortWithinPartitions("key")
+    texts, numbers = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    places = arrow_map(texts, _places, PLACES).repartition("key").sortWithinPartitions("key")
     orders = stage(arrow_map(places, _orders, ORDERS), "orders")
     asked = orders.where(F.col("kind") != SPAN).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "a", "b", "lo")).alias("asked"))
-    # equal rows ask once; both joins read the same shuffled texts
-    wanted = texts.join(asked, "doc").select("doc", "text", "asked")
+    # both joins with the texts are outer and take the same columns, so that the texts are shuffled once for both
+    wanted = texts.join(asked, "doc", "left").select("doc", "text", "asked")
     contexts = arrow_map(wanted, _contexts, TEXTS).repartition("key").sortWithinPartitions("key")
     spans = orders.where(F.col("kind") == SPAN).select("doc", "a", "b").unionByName(arrow_map(contexts, _spans, "doc long, a long, b long"))
     gone = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    joined = texts.join(gone, "doc", "left").select("doc_id", "text", "gone")
+    joined = texts.join(gone, "doc", "left").select("doc", "text", "gone")
     kept = ", kept binary, spans array<struct<start long, stop long>>" if keep_text else ""
-    return arrow_map(joined, _cutter(keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+    first = "doc_id" if numbers is None else "doc"
+    out = arrow_map(joined, _cutter(keep_text, first), f"{first} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+    if numbers is None:
+        return out
+    return out.join(numbers, "doc").select("doc_id", *[c for c in out.columns if c != "doc"])
