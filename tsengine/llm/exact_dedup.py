@@ -64,6 +64,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "last") -> DataFrame:
-    """The rows of docs that stay, with all their columns; only ids travel back to the texts."""
-    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+    """The rows of docs that stay, with all their columns; only ids and digests travel back to the texts.
+
+    Rows of different texts under one id, or without an id, are judged each by its own text.
+    """
+    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_text"))
+    marked = docs.withColumn("__text", F.sha2(lower_ascii(F.col(text_col)), 256))
+    same = marked[id_col].eqNullSafe(gone["__gone_id"]) & (marked["__text"] == gone["__gone_text"])
+    return marked.join(gone, same, "left_anti").drop("__text")
