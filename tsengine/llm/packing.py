@@ -75,7 +75,7 @@ def _packer(name: str, capacities: tuple[int, ...], overhead: int):
     def run(batches):
         ids, lengths, held, window = [], [], 0, 0
         for batch in batches:
-            for piece in tx.slices(batch, "text", 8 << 20):
+            for piece in tx.slices(batch, "text", 16 << 20):
                 counts = tokens.count(piece.column("text"), name) + 1
                 for k in range(0, len(counts), WINDOW):
                     ids.append(piece.column("doc_id").slice(k, WINDOW))

@@ -30,7 +30,7 @@ BLOCKS = "part int, block int, before long, doc_ids array<long>, sizes array<lon
 def _encoder(name: str, end_id: int):
     def run(batches):
         for batch in batches:
-            for piece in tx.slices(batch, "text", 8 << 20):
+            for piece in tx.slices(batch, "text", 16 << 20):
                 ids, offsets = tokens.encode(piece.column("text"), name)
                 rows = np.arange(1, len(offsets))
                 ids, offsets = np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
