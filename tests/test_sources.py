@@ -80,7 +80,7 @@ def samples(spark, rows):
 
 
 def test_store(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), bucket_size=86_400)
     assert store.samples().count() == 0
     store.write(samples(spark, [("m", {"a": "1"}, 100, 1.0), ("m", {"a": "1"}, 90_000, 2.0), ("n", {}, 100, 5.0)]), 1)
     store.write(samples(spark, [("m", {"a": "1"}, 100, 9.0), ("m", {"a": "2"}, 100, 3.0)]), 2)

@@ -1,7 +1,9 @@
-"""A Parquet store of samples: partitioned by day, sorted by series and time, first write wins.
+"""A Parquet store of samples: partitioned by time, sorted by series and time, first write wins.
 
 Writes append; every write has a number, and readers take of each series and time the sample of the lowest. So a write
-needs no look at what is stored. `compact` rewrites days into one sorted copy; `expire` deletes days by their age.
+needs no look at what is stored. `compact` rewrites the store into one sorted copy; `expire` deletes buckets by age.
+
+A store's bucket should hold a few files' worth of samples: a day where a day fills gigabytes, a month by default.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..model import MapSource, between, label_column, labels_key
 
-BUCKET = 86_400
+BUCKET = 30 * 86_400
 COLUMNS = "name string, labels map<string,string>, labels_key string, ts long, value double, seq long, bucket long"
 
 
-def bucket(ts, size: int = BUCKET):
+def bucket(ts, size: int):
     """The start of the stretch of time that holds ts."""
     return (F.floor(ts / F.lit(size)) * size).cast("long")
 
@@ -48,10 +50,19 @@ def merge_hot_cold(cold: DataFrame, hot: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """A store at a path. Its samples are read through `source`, which prunes days."""
+    """A store at a path. Its samples are read through `source`, which prunes buckets."""
 
     spark: SparkSession
     path: str
+    bucket_size: int = BUCKET
+    #: Files of a bucket that one write makes at most.
+    spread: int = 4
+
+    def _floor(self, ts: int | None) -> int | None:
+        return None if ts is None else ts // self.bucket_size * self.bucket_size
+
+    def _bucket(self):
+        return bucket(F.col("ts"), self.bucket_size)
 
     def _read(self) -> DataFrame:
         try:
@@ -66,29 +77,29 @@ class Store:
         if "arrival" not in samples.columns:
             samples = samples.withColumn("arrival", F.lit(0).cast("long"))
         keyed = samples.withColumn("labels_key", labels_key(F.col("name"), F.col("labels")))
-        rows = deduplicate(keyed, "arrival").withColumns({"seq": F.lit(seq).cast("long"), "bucket": bucket(F.col("ts"))})
-        rows.repartition("bucket", F.pmod(F.xxhash64("labels_key"), F.lit(16))).sortWithinPartitions("bucket", "name", "labels_key", "ts").write.mode("append").partitionBy("bucket").parquet(self.path)
+        rows = deduplicate(keyed, "arrival").withColumns({"seq": F.lit(seq).cast("long"), "bucket": self._bucket()})
+        rows.repartition("bucket", F.pmod(F.xxhash64("labels_key"), F.lit(self.spread))).sortWithinPartitions("bucket", "name", "labels_key", "ts").write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def samples(self, low: int | None = None, high: int | None = None) -> DataFrame:
         """Stored samples of a time range, first writes only."""
         df = self._read().where(between(F.col("ts"), low, high))
-        df = df.where(between(F.col("bucket"), None if low is None else low // BUCKET * BUCKET, None if high is None else high // BUCKET * BUCKET))
-        return deduplicate(df).withColumn("bucket", bucket(F.col("ts")))
+        df = df.where(between(F.col("bucket"), self._floor(low), self._floor(high)))
+        return deduplicate(df).withColumn("bucket", self._bucket())
 
     def source(self) -> StoredSource:
         return StoredSource(self)
 
     def compact(self, to: str) -> Store:
         """A copy at another path in which every series and time is stored once."""
-        rows = deduplicate(self._read()).withColumns({"seq": F.lit(0).cast("long"), "bucket": bucket(F.col("ts"))})
-        rows.repartition("bucket").sortWithinPartitions("bucket", "name", "labels_key", "ts").write.partitionBy("bucket").parquet(to)
-        return Store(self.spark, to)
+        rows = deduplicate(self._read()).withColumns({"seq": F.lit(0).cast("long"), "bucket": self._bucket()})
+        rows.repartition("bucket", F.pmod(F.xxhash64("labels_key"), F.lit(self.spread))).sortWithinPartitions("bucket", "name", "labels_key", "ts").write.partitionBy("bucket").parquet(to)
+        return Store(self.spark, to, self.bucket_size, self.spread)
 
     def expire(self, now: int, keep_seconds: int) -> list[int]:
-        """Delete the days whose samples are all older than keep_seconds; the days deleted."""
+        """Delete the buckets whose samples are all older than keep_seconds; the buckets deleted."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         gone = []
-        for row in self._read().select("bucket").distinct().where(F.col("bucket") + BUCKET <= now - keep_seconds).collect():
+        for row in self._read().select("bucket").distinct().where(F.col("bucket") + self.bucket_size <= now - keep_seconds).collect():
             target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={row['bucket']}")
             target.getFileSystem(conf).delete(target, True)
             gone.append(row["bucket"])
@@ -111,12 +122,13 @@ class Store:
 
 
 class StoredSource(MapSource):
-    """A store's samples for queries: name, time and day are filtered before first writes are picked."""
+    """A store's samples for queries: name, time and bucket are filtered before first writes are picked."""
 
     def __init__(self, store: Store):
-        super().__init__(store._read(), BUCKET)
+        super().__init__(store._read(), store.bucket_size)
+        self._store = store
 
     def scan(self, name: str, low: int | None, high: int | None, labels: list[str]) -> DataFrame:
-        floor = lambda x: None if x is None else x // BUCKET * BUCKET
+        floor = self._store._floor
         df = self.df.where(F.col("name") == name).where(between(F.col("ts"), low, high)).where(between(F.col("bucket"), floor(low), floor(high)))
         return deduplicate(df).select(*[F.element_at("labels", x).alias(label_column(x)) for x in labels], "ts", "value")
