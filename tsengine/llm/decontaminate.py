@@ -197,13 +197,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items and item_ids (ascending, of all blocks)."""
-    blocks = indexes(benchmark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    parts = [arrow_map(texts, _finder(index), MATCH_ROWS) for index in blocks]
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    """One row per document: doc_id, contaminated, n_items and item_ids (ascending, of all blocks).
+
+    Rows under one id, or without an id, are one document here: it has the items of all of them.
+    """
+    # ids and the few matches are shuffled, never texts; a document has a row for each block of the benchmark
+    found = find_matches(docs, benchmark).groupBy("doc_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
