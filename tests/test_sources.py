@@ -166,3 +166,18 @@ def test_service(spark):
     assert service.query("sum(", 1)[0] == 400
     assert "plan" in json.loads(service.query_range("cpu", 0, 20, profile=True)[1])["profile"]
     assert "tsengine_instant_queries 2" in service.metrics()
+
+
+def test_command_line(spark, tmp_path):
+    from tsengine.__main__ import run, split_pipeline
+
+    path = str(tmp_path / "store")
+    assert split_pipeline('sum(x{a="b|c"}) | double_values | pass') == ['sum(x{a="b|c"})', "double_values", "pass"]
+    for k, value in enumerate(("1", "2.5")):
+        assert run(spark, [path, "put", "m", value, "host=a", "--time", str(1000 + 10 * k)]) == "written 1"
+    body = json.loads(run(spark, [path, "query", "m", "--time", "now"], now=2000))
+    assert body["data"]["result"] == [{"metric": {"__name__": "m", "host": "a"}, "value": [1010, "2.500000"]}]
+    body = json.loads(run(spark, [path, "range", "m | double_values", "--start", "now-1h", "--end", "1020", "--step", "1s"], now=4000))
+    assert body["data"]["result"][0]["values"] == [[1000, "2.000000"], [1010, "5.000000"]]
+    assert run(spark, [path, "metrics", "m"]) == "m"
+    assert json.loads(run(spark, [path, "series", "m"])) == {"name": "m", "labels": {"host": "a"}}
