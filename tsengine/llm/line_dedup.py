@@ -3,12 +3,15 @@
 A line's key is the line stripped of ASCII white space and lower-cased (A-Z). Keys of at least `min_chars` code points
 that occur in at least `min_docs` documents are repeated; all their lines go, except those in one document.
 
-1. Each document's distinct keys are exploded as two 64-bit hashes; a partial aggregation (which bounds a hot key's rows
-   to one per task) counts documents per key and picks the one that keeps the line.
-2. Lines are joined with the repeated keys, both sides sorted by hash; adaptive execution splits a hot hash's lines.
-3. The positions to drop become bitmaps of 32,768 bits (`bitmap_construct_agg`), one row for each document and bucket.
-
-Only hashes, ids and bitmaps are shuffled before texts are read again to apply the bitmaps.
+1. The lines' hashes (two of 64 bits), documents and positions are range-partitioned by hash, document and position and
+   sorted so within partitions. As the document is part of the range key, a line that a third of all documents hold
+   spreads over as many partitions as it needs. A streaming aggregation makes one entry per hash and document.
+2. The sorted runs are summed, each partition's share of a hash first, to the number of its documents and the one that
+   keeps its lines (the first or the last occurrence in the runs' order).
+3. The entries of repeated hashes, but for the keepers', become bitmaps of 32,768 bits (`bitmap_construct_agg`), one row
+   for each document and bucket, cut after the last byte that is set.
+
+Texts are read to hash lines and to apply bitmaps; only hashes, ids, positions and bitmaps are shuffled in between.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import lower_ascii
+from .staging import stage
 
 SPACE = " \t\n\x0b\f\r"
 BUCKET = 32_768
@@ -36,24 +40,34 @@ def hashes(key) -> list:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "last", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sorted_runs(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """h1, h2, doc_id and the ascending positions of a document's lines with a key of at least min_chars code points."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
+    lines = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    lines = stage(lines.select(*hashes(F.col("key")), "doc_id", "pos"), "lines")
+    ranged = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    return stage(ranged.groupBy("h1", "h2", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")), "runs")
+
+
+def repeated_keys(runs: DataFrame, min_docs: int = 3, keep: str = "last") -> DataFrame:
     """h1, h2 and keeper of each key that occurs in enough documents."""
-    keys = F.array_distinct(F.filter(F.transform(split_lines(F.col(text_col)), line_key), lambda k: F.char_length(k) >= min_chars))
-    pairs = docs.select(F.col(id_col).alias("doc_id"), F.explode(keys).alias("key")).select("doc_id", *hashes(F.col("key")))
     pick = F.max if keep == "last" else F.min
-    return pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    # two levels, so that a join of the result with the runs deals both sides anew and can split a hot hash
+    first = runs.groupBy("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("run")).agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("keeper"))
+    both = first.groupBy("h1", "h2", F.shiftright("run", 6).alias("run")).agg(F.sum("n").alias("n"), pick("keeper").alias("keeper"))
+    return both.where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "last", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and drops of each document that loses lines: an array of (bucket, bits), by bucket.
 
     Bit p % 32768 of bucket p div 32768 + 1 is set if line p goes. Documents without a row keep every line, and what
-    follows a bitmap's last set byte is left out. Null ids count as documents of their own in no key's favour.
+    follows a bitmap's last set byte is left out. Rows under one id (or without an id) are one document: their lines
+    count once and share a bitmap, so ids should be unique. A null id never keeps a line that another document holds.
     """
-    repeated = repeated_keys(docs, min_chars, min_docs, keep, id_col, text_col)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars).select("doc_id", "pos", *hashes(F.col("key")))
-    gone = lines.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", (F.col("pos") + 1).cast("long").alias("p"))
+    runs = sorted_runs(docs, min_chars, id_col, text_col)
+    gone = runs.join(repeated_keys(runs, min_docs, keep), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    gone = gone.select("doc_id", F.explode("positions").alias("pos")).select("doc_id", (F.col("pos") + 1).cast("long").alias("p"))
     bits = gone.groupBy("doc_id", F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"), F.max(F.expr("bitmap_bit_position(p)")).alias("top"))
     bits = bits.select("doc_id", F.struct("bucket", F.expr("substring(bits, 1, cast(top div 8 as int) + 1)").alias("bits")).alias("b"))
     return bits.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("drops"))
