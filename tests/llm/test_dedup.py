@@ -170,6 +170,18 @@ def test_repeats(spark, monkeypatch, few, many):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_of_short_lines(spark):
+    """Documents of 35 to 50 byte lines: what two contexts share must count as their bytes, not as their padding."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("abcdefgh ", k=rng.randrange(35, 51))) for _ in range(8)]
+    rows = [(k, "\n".join(rng.choices(lines, k=rng.choice([2, 3, 3, 3, 4])))) for k in range(300)]
+    x, y, g = "x" * 3 + lines[0][:37], "y" * 3 + lines[1][:37], "G" + lines[2][:29]
+    rows += [(1000, x + g + lines[3][:40]), (1001, lines[4][:40] + g + y), (1002, x + g + y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_odd(spark, odd_docs, odd_rows, empty_docs):
     got = remove_repeats(odd_docs, keep_text=True).collect()
     assert len(got) == len(odd_rows)

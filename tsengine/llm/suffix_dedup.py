@@ -224,21 +224,23 @@ def _list_sizes(lists: pa.Array) -> np.ndarray:
 WIDTH = 2 * LENGTH
 
 
-def shared(doc: np.ndarray, at: np.ndarray, right: np.ndarray, right_lcp: np.ndarray, left: np.ndarray, left_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shared(doc: np.ndarray, at: np.ndarray, right: np.ndarray, right_lcp: np.ndarray, n_right: np.ndarray, left: np.ndarray, left_lcp: np.ndarray, n_left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context of a gram, how far to the left and right of its anchor it agrees with earlier ones.
 
     right and left are the sorted orders of the suffixes and of the reversed prefixes, the others the common prefixes of
-    neighbours in them. Only earlier contexts that share LENGTH bytes about the anchor count; 0, 0 without any.
+    neighbours in them and the bytes each context has on that side. Common prefixes count the padding beyond the texts'
+    ends, so each pair's is cut to the shorter of the two contexts first. Only earlier contexts that share LENGTH bytes
+    about the anchor count; 0, 0 without any.
     """
     n = len(doc)
     both = []
-    for order, lcp in ((right, right_lcp), (left, left_lcp)):
+    for order, lcp, size in ((right, right_lcp, n_right), (left, left_lcp, n_left)):
         pair = np.zeros((n, n), np.int64)
         for k in range(n - 1):
             run = np.minimum.accumulate(lcp[k + 1 :])
             pair[order[k], order[k + 1 :]] = run
             pair[order[k + 1 :], order[k]] = run
-        both.append(pair)
+        both.append(np.minimum(pair, np.minimum(size[:, None], size[None, :])))
     earlier = (doc[None, :] < doc[:, None]) | ((doc[None, :] == doc[:, None]) & (at[None, :] < at[:, None]))
     ok = earlier & (both[0] + both[1] >= LENGTH)
     return np.where(ok, both[1], 0).max(axis=1), np.where(ok, both[0], 0).max(axis=1)
@@ -274,9 +276,7 @@ def _spans(batches):
             r, rl = right[x:y], right_lcp[x:y]
             members = np.sort(r)
             place = lambda o: np.searchsorted(members, o)
-            n_left, n_right = shared(doc[members], anchor[members], place(r), rl, place(left[x:y]), left_lcp[x:y])
-            # padding agrees beyond the texts' ends; a span never leaves its own context, and equal ends bound the rest
-            n_left, n_right = np.minimum(n_left, lo[members]), np.minimum(n_right, length[members] - lo[members])
+            n_left, n_right = shared(doc[members], anchor[members], place(r), rl, length[members] - lo[members], place(left[x:y]), left_lcp[x:y], lo[members])
             hit = n_left + n_right >= LENGTH
             gone = members[hit]
             out_doc.append(doc[gone])
