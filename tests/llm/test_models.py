@@ -245,6 +245,27 @@ def test_licences(licence_model):
     assert texts[row].encode()[start:stop].decode() == "Released under the MIT License.\n"
 
 
+def test_short_notices(spark, licence_model):
+    """Every heading, SPDX identifier and short notice alone, in comment signs or not; and lines that merely hold one."""
+    for model in (licence_model, license_scan.fit(license_scan.corpus_paragraphs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))):
+        wanted = [(t, f) for f, texts in license_scan.NOTICES.items() for t in texts]
+        for form in ("{}", "// {}\r", "# {}"):
+            found, _ = license_scan.scan(pa.array([form.format(t) for t, _ in wanted]), model)
+            assert [(row, family) for row, _, _, _, family, *_ in found] == [(k, f) for k, (_, f) in enumerate(wanted)]
+        others = ["all rights reserved seats were taken", "she has a license", "mit", "a public license", "SPDX-License-Identifier: Nonsense-1.0", "rights reserved", "reserved"]
+        assert license_scan.scan(pa.array(others), model)[0] == []
+
+
+def test_licence_lines_of_documents(spark):
+    """The licence lines of the test documents, found by looking for them as they stand."""
+    known = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = {(r["doc_id"], k, known[line]) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n")) if line in known}
+    assert {f for _, _, f in expected} == set(known.values())
+    got = {(r["doc_id"], x["paragraph"], x["family"]) for r in license_scan.scan_licences(docs).collect() for x in r["found"]}
+    assert got == expected
+
+
 def test_licence_rows(spark, odd_docs, odd_rows, empty_docs, licence_model):
     assert license_scan.scan_licences(odd_docs, licence_model).count() == len(odd_rows)
     assert license_scan.scan_licences(empty_docs, licence_model).count() == 0

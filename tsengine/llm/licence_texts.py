@@ -71,6 +71,42 @@ TEMPLATES: dict[str, list[str]] = {
         "This document is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
 }
+#: SPDX identifiers of the families.
+IDENTIFIERS: dict[str, list[str]] = {
+    "MIT": ["MIT", "MIT-0"],
+    "Apache-2.0": ["Apache-2.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD"],
+    "GPL": [f"GPL-{v}{s}" for v in ("2.0", "3.0") for s in ("", "-only", "-or-later")],
+    "LGPL": [f"LGPL-{v}{s}" for v in ("2.0", "2.1", "3.0") for s in ("", "-only", "-or-later")],
+    "AGPL": [f"AGPL-3.0{s}" for s in ("", "-only", "-or-later")],
+    "MPL-2.0": ["MPL-2.0"],
+    "ISC": ["ISC"],
+    "Unlicense": ["Unlicense"],
+    "CC0": ["CC0-1.0"],
+    "CC-BY": ["CC-BY-3.0", "CC-BY-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-3.0", "CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-3.0", "CC-BY-NC-4.0"],
+    "proprietary": ["LicenseRef-Proprietary"],
+}
+#: Names that stand as headings, and other short notices.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT licensed"],
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "BSD": ["BSD License", "The BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "New BSD License", "Simplified BSD License"],
+    "GPL": ["GPL", "GNU GPL", "GPLv2", "GPLv3", "GNU GPLv3", "GNU General Public License", *(f"GNU General Public License{s}" for s in (", version 2", ", version 3", " v2.0", " v3.0"))],
+    "LGPL": ["LGPL", "GNU LGPL", "LGPLv3", "GNU Lesser General Public License", *(f"GNU Lesser General Public License{s}" for s in (", version 2.1", ", version 3", " v2.1", " v3.0"))],
+    "AGPL": ["AGPL", "GNU AGPL", "AGPLv3", "GNU Affero General Public License", *(f"GNU Affero General Public License{s}" for s in (", version 3", " v3.0"))],
+    "MPL-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "Unlicense": ["The Unlicense"],
+    "CC0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero"],
+    "CC-BY": ["CC BY", "CC BY 4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA": ["CC BY-SA", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC": ["CC BY-NC", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "proprietary": ["All rights reserved.", "Proprietary and confidential.", "Proprietary license"],
+}
+#: Notices too short for shares of word pairs: a paragraph is one of them if it has the same words.
+NOTICES = {f: [*NAMES[f], *(p + i for i in IDENTIFIERS[f] for p in ("SPDX-License-Identifier: ", "License: "))] for f in TEMPLATES}
 #: Paragraphs that speak of licences, or like them, but grant none.
 UNKNOWN = [
     "The driver must carry a valid license and the registration of the vehicle.",

@@ -3,10 +3,11 @@
 A paragraph is a line of text. Its features are its distinct words and word pairs, hashed to `BUCKETS` slots and scaled
 to unit length; a sparse multinomial logistic regression over them names one of the licence families or "unknown". It is
 trained on the families' notices (`licence_texts.py`) and on variants of them with words dropped and foreign words
-around them; the unknown class is trained on paragraphs of the corpus itself (a sample bounded by `FIT_PARAGRAPHS`) and
+around them, short ones as they are; the unknown class is trained on paragraphs of the corpus itself (a sample bounded by `FIT_PARAGRAPHS`) and
 on paragraphs that merely speak of licences. A temperature, set on variants apart, calibrates the probabilities, so
 that "unknown" wins where no family is likely. A predicted family is confirmed if enough of the word pairs of one of its
-templates stand in the paragraph, or enough of the paragraph's in a template.
+templates stand in the paragraph, or enough of the paragraph's in a template, or if its words are those of a short
+notice: a heading, an SPDX identifier, "All rights reserved.".
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .licence_texts import TEMPLATES, UNKNOWN
+from .licence_texts import NOTICES, TEMPLATES, UNKNOWN
 from .staging import arrow_map
 
 BUCKETS = 1 << 15
@@ -68,20 +69,28 @@ def word_list(text: str) -> list[str]:
     return [low[a:b].decode(errors="replace") for a, b in zip(starts, ends, strict=True)]
 
 
-def pairs_of(text: str) -> set:
-    words = word_list(text)
+def pairs_of(words: list[str]) -> set:
     return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
-_TEMPLATE_PAIRS = {f: [pairs_of(t) for t in texts] for f, texts in TEMPLATES.items()}
+_TEMPLATE_PAIRS = {f: [pairs_of(word_list(t)) for t in texts] for f, texts in TEMPLATES.items()}
+_NOTICE_WORDS = {f: {tuple(word_list(t)) for t in texts} for f, texts in NOTICES.items()}
 
 
-def template_share(text: str, family: str) -> float:
-    """The largest share of word pairs held in common with a template of the family, of either's pairs."""
-    own = pairs_of(text)
+def template_share(words: list[str], family: str) -> float:
+    """The largest share of word pairs held in common with a template of the family, of either's pairs; 1 for a notice."""
+    if tuple(words) in _NOTICE_WORDS[family]:
+        return 1.0
+    own = pairs_of(words)
     return max((len(own & t) / min(len(own), len(t)) if min(len(own), len(t)) >= 3 else float(own == t) for t in _TEMPLATE_PAIRS[family]), default=0.0)
 
 
+def speaks_for_none(text: str) -> bool:
+    """Whether no family's templates or notices would confirm the paragraph."""
+    words = word_list(text)
+    return all(template_share(words, f) < CONFIRMED for f in FAMILIES)
+
+
 def variants(corpus: list[str], seed: int, times: int) -> tuple[list[str], np.ndarray]:
     """Training paragraphs and their classes."""
     rng = np.random.default_rng(seed)
@@ -97,7 +106,10 @@ def variants(corpus: list[str], seed: int, times: int) -> tuple[list[str], np.nd
                     kept = [*extra, *kept] if v % 2 else [*kept, *extra]
                 texts.append(" ".join(kept))
                 y.append(k)
-    plain = [t for t in corpus if max(template_share(t, f) for f in FAMILIES) < CONFIRMED] if corpus else []
+        for t in NOTICES[family] * times:
+            texts.append(t)
+            y.append(k)
+    plain = [t for t in corpus if speaks_for_none(t)]
     shuffled = [" ".join(rng.permutation(t.split()).tolist()[: int(rng.integers(3, 9))]) for ts in TEMPLATES.values() for t in ts for _ in range(times // 4)]
     for t in [*plain, *UNKNOWN * max(1, times // 2), *shuffled, ""]:
         texts.append(t)
@@ -188,7 +200,7 @@ def scan(column: pa.Array, model: Model):
     for k in np.flatnonzero(p[np.arange(n), best] >= LIKELY):
         text = data[at[k] : at[k + 1]].tobytes().decode(errors="replace").rstrip("\n")
         family = FAMILIES[best[k]]
-        share = template_share(text, family)
+        share = template_share(word_list(text), family)
         if share >= CONFIRMED:
             row = int(np.searchsorted(own, k, "right")) - 1
             found.append((row, int(k - own[row]), int(at[k] - offsets[row]), int(at[k + 1] - offsets[row]), family, float(p[k, best[k]]), share))
