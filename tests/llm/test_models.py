@@ -245,6 +245,16 @@ def test_licences(licence_model):
     assert texts[row].encode()[start:stop].decode() == "Released under the MIT License.\n"
 
 
+def test_licence_temperature_is_set_on_paragraphs_apart(monkeypatch):
+    used, variants = [], license_scan.variants
+    monkeypatch.setattr(license_scan, "variants", lambda corpus, *rest: used.append(set(corpus)) or variants(corpus, *rest))
+    corpus = [f"paragraph number {k} of some corpus" for k in range(101)]
+    license_scan.fit(corpus, epochs=1)
+    fitted, apart = used
+    assert not fitted & apart
+    assert fitted | apart == set(corpus)
+
+
 def test_short_notices(spark, licence_model):
     """Every heading, SPDX identifier and short notice alone, in comment signs or not; and lines that merely hold one."""
     for model in (licence_model, license_scan.fit(license_scan.corpus_paragraphs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))):

@@ -3,11 +3,12 @@
 A paragraph is a line of text. Its features are its distinct words and word pairs, hashed to `BUCKETS` slots and scaled
 to unit length; a sparse multinomial logistic regression over them names one of the licence families or "unknown". It is
 trained on the families' notices (`licence_texts.py`) and on variants of them with words dropped and foreign words
-around them, short ones as they are; the unknown class is trained on paragraphs of the corpus itself (a sample bounded by `FIT_PARAGRAPHS`) and
-on paragraphs that merely speak of licences. A temperature, set on variants apart, calibrates the probabilities, so
-that "unknown" wins where no family is likely. A predicted family is confirmed if enough of the word pairs of one of its
-templates stand in the paragraph, or enough of the paragraph's in a template, or if its words are those of a short
-notice: a heading, an SPDX identifier, "All rights reserved.".
+around them, short ones as they are; the unknown class is trained on paragraphs of the corpus itself (a sample bounded
+by `FIT_PARAGRAPHS`) and on paragraphs that merely speak of licences. A temperature, set on other paragraphs of the
+corpus and other variants, calibrates the probabilities, so that "unknown" wins where no family is likely. A predicted
+family is confirmed if enough of the word pairs of one of its templates stand in the paragraph, or enough of the
+paragraph's in a template, or if its words are those of a short notice: a heading, an SPDX identifier, "All rights
+reserved.".
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .staging import arrow_map
 
 BUCKETS = 1 << 15
 #: Paragraphs of the corpus that the unknown class is fitted on at most: those with the smallest hashes of their
-#: texts, among those of at most FIT_BYTES bytes.
+#: texts, among those of at most FIT_BYTES bytes. As many again set the temperature.
 FIT_PARAGRAPHS, FIT_BYTES = 4096, 2000
 #: The least probability of a family, and the least share of word pairs for its confirmation.
 LIKELY, CONFIRMED = 0.5, 0.6
@@ -138,8 +139,13 @@ class Model:
 
 
 def fit(corpus: list[str], epochs: int = 12) -> Model:
-    """Adagrad on variants of the templates and the corpus's paragraphs, with a sparsifying shrinkage at the end."""
-    texts, y = variants(corpus, 1, 24)
+    """Adagrad on variants of the templates and half the corpus's paragraphs, with a sparsifying shrinkage at the end.
+
+    The other half is never fitted on and sets the temperature. Paragraphs are taken as they come, so they should be in
+    no order that tells them apart.
+    """
+    half = (len(corpus) + 1) // 2
+    texts, y = variants(corpus[:half], 1, 24)
     slots, line, value = vectors(texts)
     at = np.searchsorted(line, np.arange(len(texts) + 1))
     k, rng = len(CLASSES), np.random.default_rng(2)
@@ -162,7 +168,7 @@ def fit(corpus: list[str], epochs: int = 12) -> Model:
             gb += b * b
             model.bias -= 0.5 * b / np.sqrt(gb)
     model.weight[np.abs(model.weight) < 1e-3] = 0
-    texts, y = variants(corpus[len(corpus) // 2 :], 9, 8)
+    texts, y = variants(corpus[half:], 9, 8)
     margins = model.margins(*vectors(texts), len(texts))
     grid = np.exp(np.linspace(np.log(0.1), np.log(10), 81))
     loss = []
@@ -173,7 +179,7 @@ def fit(corpus: list[str], epochs: int = 12) -> Model:
     return model
 
 
-def corpus_paragraphs(docs: DataFrame, limit: int = FIT_PARAGRAPHS) -> list[str]:
+def corpus_paragraphs(docs: DataFrame, limit: int = 2 * FIT_PARAGRAPHS) -> list[str]:
     """At most limit distinct paragraphs of 1 to FIT_BYTES bytes, from all documents, chosen by their hashes alone."""
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     lines = lines.where(F.octet_length("line").between(1, FIT_BYTES)).select("line", F.xxhash64("line").alias("h"))
