@@ -1,9 +1,9 @@
-"""Exact deduplication by a tree merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree merge of digest runs, expressed as salted hash aggregations of DataFrames.
 
 Every document gets a 256-bit digest of its normalised text and a second, independent 64-bit check with the text's
 length. Documents are dealt to `2 ** (ROUND_BITS * ROUNDS)` runs by their id. The first aggregation makes one entry per
 (digest, run); every round after it merges the runs whose numbers agree without their lowest `ROUND_BITS` bits, as a
-binomial tree does, and keeps of each digest the retained id and the group's size. Entries merge only if digest, check
+binomial tree does (by hash aggregation: no run is sorted), and keeps of each digest the retained id and the group's size. Entries merge only if digest, check
 and length agree, so each level verifies what it merges. A digest that a third of all documents share thus enters any
 task as at most one row for each of its upstream tasks and runs; no task ever sees a group's members.
 
