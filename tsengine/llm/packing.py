@@ -7,7 +7,8 @@ length and a fixed overhead, so large bins are opened while material lasts and s
 is downsized to the shortest permitted length that holds its contents.
 
 Each task packs windows of `WINDOW` documents as it reads them: there is no shuffle, memory is bounded by a window, and
-a lost task is redone alone. A window wastes at most what its last bins leave, a fraction of a percent.
+a lost task is redone alone. A window wastes what its last bins leave: little where windows are full, more where the
+input is cut into partitions of few documents (README has figures).
 """
 
 from __future__ import annotations
