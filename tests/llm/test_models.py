@@ -201,6 +201,13 @@ def test_toxicity_on_held_out(spark):
     assert classified(spark, toxicity.toxicity_scores, "/root/testdata/sf0.01", "toxic", 0.5) >= 0.9
 
 
+def test_every_telling_slot_is_kept():
+    n1 = np.append(np.full(9000, 100), np.zeros(1000, int))
+    slots, ratio = toxicity.choose(np.zeros(10_000, int), n1, 1000, 1000)
+    assert sorted(slots.tolist()) == list(range(9000))
+    assert (ratio > 0).all()
+
+
 @pytest.mark.parametrize(("scores", "label"), [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_classifiers_on_odd_rows(spark, scores, label, odd_docs, odd_rows, empty_docs):
     labels = spark.createDataFrame([(k, k % 2, None if k == 3 else k % 2) for k in range(9)] + [(None, 1, 1), (1, 1, 1), (2, 7, 7)], "doc_id long, quality int, toxic int")

@@ -21,8 +21,8 @@ from .sampling import FIT_ROWS, fit_sample, held_out, sigmoid, temperature
 from .staging import arrow_map
 
 SIZES, BUCKETS = (4, 5, 6), 1 << 20
-#: Slots with a weight: those with the largest log-likelihood ratios between the two classes.
-FEATURES = 4096
+#: Slots with a weight: all whose log-likelihood ratio between the two classes is larger.
+GAIN = 6
 
 
 def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +96,14 @@ class Model:
 
 
 def choose(n0: np.ndarray, n1: np.ndarray, d0: int, d1: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots that tell the classes apart best, and their log-count ratios."""
+    """The slots that tell the classes apart, the best first, and their log-count ratios."""
     p, q = (n1 + 1) / (d1 + 2), (n0 + 1) / (d0 + 2)
     ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
     pooled = (n0 + n1 + 1) / (d0 + d1 + 2)
     part = lambda n, d, r: n * np.log(np.maximum(r, 1e-12) / pooled) + (d - n) * np.log(np.maximum(1 - r, 1e-12) / (1 - np.minimum(pooled, 1 - 1e-9)))
     gain = part(n1, d1, n1 / max(d1, 1)) + part(n0, d0, n0 / max(d0, 1))
-    order = np.argsort(-gain, kind="stable")[:FEATURES]
-    order = order[gain[order] > 6]
+    order = np.argsort(-gain, kind="stable")
+    order = order[gain[order] > GAIN]
     return order, ratio[order]
 
 
@@ -118,32 +118,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int
     if not d0 or not d1:
         return Model(weight, 0.0 if d0 == d1 else 20.0 if d1 else -20.0)
     slots, ratio = choose(n[0], n[1], d0, d1)
-    found = arrow_map(sample, _finder(slots), "doc_id long, y int, x array<int>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.concatenate([np.zeros(0, np.int64), *found["x"]]).astype(np.int64)
-    length = found["x"].map(len).to_numpy()
-    y, at = found["y"].to_numpy(), np.concatenate([[0], np.cumsum(length)])
+    # slots of all texts stay as Arrow sent them, one after the other; texts are taken by id
+    found = arrow_map(sample, _finder(slots), "doc_id long, y int, x array<int>").toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    y, lists = found.column("y").to_numpy()[order], found.column("x").combine_chunks()
+    del counts, found
+    x, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    start, length = at[:-1][order], np.diff(at)[order]
     apart = np.random.default_rng(4).random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
     use = np.flatnonzero(~apart)
-    row = np.repeat(np.arange(len(y)), length)
 
-    def margins(w, b):
-        return b + np.bincount(row, ratio[x] * w[x], len(y))
+    def held(part):
+        """The chosen slots of some texts, and the text of each."""
+        size = length[part]
+        own = np.repeat(start[part] - np.concatenate([np.zeros(min(len(part), 1), np.int64), np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return x[own], np.repeat(np.arange(len(part)), size)
+
+    def margins(w, b, part):
+        f, who = held(part)
+        return b + np.bincount(who, ratio[f] * w[f], len(part))
 
     w, b = np.full(len(slots), 0.1), float(np.log(d1 / d0))
     rng, g2, step = np.random.default_rng(6), np.full(len(slots) + 1, 1e-3), 0.2
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(use), max(1, len(use) // 64)):
-            size = length[part]
-            own = np.repeat(at[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            f = x[own]
-            who = np.repeat(np.arange(len(part)), size)
+            f, who = held(part)
             error = (sigmoid(b + np.bincount(who, ratio[f] * w[f], len(part))) - y[part]) / len(part)
             grad = np.append(np.bincount(f, error[who] * ratio[f], len(slots)) + decay * w, error.sum())
             g2 += grad * grad
             move = step * grad / np.sqrt(g2)
             w, b = w - move[:-1], b - move[-1]
     weight[slots] = ratio * w
-    return Model(weight, float(b), temperature(margins(w, b)[apart], y[apart]))
+    return Model(weight, float(b), temperature(margins(w, b, np.flatnonzero(apart)), y[apart]))
 
 
 def _scorer(model):
