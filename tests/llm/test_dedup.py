@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import lower, near_components, shingle_set
 
-from tsengine.llm import suffix_dedup
+from tsengine.llm import near_dedup, suffix_dedup
 from tsengine.llm.anchors import LENGTH, anchors
 from tsengine.llm.components import connected_components
 from tsengine.llm.exact_dedup import drop_exact_duplicates, exact_groups
@@ -95,6 +95,28 @@ def test_near(spark, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) and r["n_shingles"] == len(shingle_set(dict(rows)[r["doc_id"]], 3)) for r in got)
 
 
+def test_spanning():
+    """As many pairs as components joined, the fewest bits first."""
+    a, b, bits = np.array([1, 1, 2, 5, 5]), np.array([2, 3, 3, 6, 7]), np.array([5, 1, 2, 9, 3])
+    assert near_dedup.spanning(a, b, bits, a, b).tolist() == [1, 2, 4, 3]
+    assert near_dedup.spanning(a, b, bits, np.array([1, 1, 2, 5, 5]), np.array([2, 2, 2, 6, 6])).tolist() == [1, 4]
+
+
+def test_near_grows_linearly(spark, monkeypatch):
+    """One group of near copies, and of four times the members: pairs to confirm in proportion to them, no link lost."""
+    rng, confirmed = random.Random(8), []
+    confirm = near_dedup._confirm
+    monkeypatch.setattr(near_dedup, "_confirm", lambda pairs, *rest: (confirmed.append(pairs.count()), confirm(pairs, *rest))[1])
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=120)
+    for n in (400, 1600):
+        rows = [(k, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base)) for k in range(n)]
+        confirmed.clear()
+        got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Plan()).collect()
+        assert sum(confirmed) < 2 * n
+        assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 5, 80, 100)
+
+
 def test_near_odd(spark, odd_docs, odd_rows, empty_docs):
     got = near_groups(odd_docs, Plan(3, 85, 100)).collect()
     assert len(got) == len(odd_rows)

@@ -5,12 +5,15 @@
    set bits as the samples that differ, and for similar sets hardly fewer. A larger one folds all shingles of the set.
 2. Documents with equal sets form classes; only class representatives go on.
 3. Star pairs: each band's bucket pairs its members with its smallest member. The pairs whose sketches could belong to
-   similar sets (bounds that a true link fails with probability `MISS`) are confirmed on the full sets of their texts.
-   The samples' sketch decides cheaply; the set's leaves hardly any pair that is not similar.
-4. Connected components over confirmed links. Buckets whose members then lie in one component are settled, as further
-   links inside could not change it. In the rest, all pairs across components are compared by sketch, in blocks of
-   bounded size, within tasks; only pairs that pass are emitted and confirmed. That is the exact way for large buckets:
-   none is capped.
+   similar sets (bounds that a true link fails with probability `MISS`) are confirmed on the full sets of their texts:
+   first each member's best pair, then those of the others that still join two components.
+4. Buckets whose members then lie in one component are settled, as further links inside could not change it. In the
+   rest, pairs across components are compared by sketch within tasks, in blocks of bounded size, and of the pairs that
+   pass, a task emits a spanning forest of its components only, the fewest differing bits first. So the pairs to confirm
+   are in proportion to the members. Blocks are first compared with themselves; in buckets of several blocks, what the
+   largest component does not hold is then compared with all blocks.
+5. Where all of a forest is confirmed, its bucket is settled. Only the buckets in which a pair was refuted are compared
+   once more, and there every pair across components that was not confirmed or refuted before is. No bucket is capped.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a probability of at most `MISS`.
 """
@@ -35,7 +38,9 @@ SKETCH_BITS = 512
 SET_BITS = 2048
 MISS = 1e-7
 #: Members of a block of a bucket: a task compares two such blocks at a time.
-BLOCK = 1024
+BLOCK = 512
+#: Ids of texts to confirm that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -170,35 +175,70 @@ def _confirmer(plan: Plan):
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, plan: Plan, name: str) -> DataFrame:
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stage(arrow_map(joined.select("a", "b", "text_a", "text_b"), _confirmer(plan), "a long, b long"), name)
+    """The staged pairs that are links. Only texts that a pair names go through the joins."""
+    nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    named = texts.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("id"), "left_semi")
+    joined = pairs.join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return stage(arrow_map(joined.select("a", "b", "text_a", "text_b"), _confirmer(plan), "a long, b long").distinct(), name)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> np.ndarray:
+    """Pairs that span the components which all pairs together would join, the fewest bits first."""
+    nodes, where = np.unique(np.concatenate([comp_a, comp_b]), return_inverse=True)
+    x, y = where[: len(a)].tolist(), where[len(a) :].tolist()
+    parent, left, out = list(range(len(nodes))), len(nodes) - 1, []
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k in np.lexsort((b, a, bits)).tolist():
+        p, q = root(x[k]), root(y[k])
+        if p != q:
+            parent[p] = q
+            out.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(out, np.int64)
 
 
-def _crosser(plan: Plan):
-    """Rows of one (bucket, block pair) follow each other; out come the pairs across components that sketches allow.
+def _crosser(plan: Plan, forest: bool):
+    """Rows of one (bucket, block pair) follow each other; out come pairs across components that sketches allow.
 
-    A pair of a bucket is compared in just one block pair: within block i in (i, i) and across in (i, j).
+    A pair of a bucket is compared in just one block pair: within block i in (i, i) and across in (i, j). With forest,
+    only pairs that span what all of them would join come out.
     """
 
     def compare(t: pa.Table):
-        cols = {c: t.column(c).to_numpy() for c in ("rep", "comp", "pivot", "block", "i", "j", "n_shingles")}
+        cols = {c: t.column(c).to_numpy() for c in ("key", "rep", "comp", "pivot", "block", "i", "j", "n_shingles")}
         sketch = np.vstack(t.column("sketch").to_numpy(zero_copy_only=False)).view(U)
+        rep, comp, pivot = cols["rep"], cols["comp"], cols["pivot"][0]
         left = np.flatnonzero(cols["block"] == cols["i"])
         right = left if cols["i"][0] == cols["j"][0] else np.flatnonzero(cols["block"] == cols["j"])
+        found: list[tuple] = []
         for k in left:
-            if cols["rep"][k] == cols["pivot"][0]:
+            if rep[k] == pivot:  # star pairs are settled
                 continue
-            near = (cols["comp"][right] != cols["comp"][k]) & (cols["rep"][right] != cols["pivot"][0])
+            near = (comp[right] != comp[k]) & (rep[right] != pivot)
             if right is left:
-                near &= cols["rep"][right] > cols["rep"][k]
+                near &= rep[right] > rep[k]
             near = right[near]
             near = near[np.bitwise_count(sketch[near, :SAMPLE_WORDS] ^ sketch[k, :SAMPLE_WORDS]).sum(axis=1) <= plan.most_bits]
             bits = np.bitwise_count(sketch[near, SAMPLE_WORDS:] ^ sketch[k, SAMPLE_WORDS:]).sum(axis=1)
-            near = near[bits <= allowed_set_bits(cols["n_shingles"][near] + cols["n_shingles"][k], plan)]
-            other = cols["rep"][near]
-            if len(other):
-                own = np.full(len(other), cols["rep"][k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], ["a", "b"])
+            ok = bits <= allowed_set_bits(cols["n_shingles"][near] + cols["n_shingles"][k], plan)
+            if ok.any():
+                found.append((np.full(ok.sum(), k), near[ok], bits[ok]))
+        if not found:
+            return
+        x, y, bits = (np.concatenate(part) for part in zip(*found, strict=True))
+        if forest:
+            s = spanning(np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), bits, comp[x], comp[y])
+            x, y = x[s], y[s]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), cols["key"][0])), pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["key", "a", "b"])
 
     def run(batches):
         held = None
@@ -216,6 +256,28 @@ def _crosser(plan: Plan):
     return run
 
 
+def _crossed(members: DataFrame, sketches: DataFrame, plan: Plan, forest: bool, within: bool) -> DataFrame:
+    """Staged key, a and b of the pairs that members (key, rep, comp, pivot, n) of open buckets give.
+
+    within compares each block with itself only. Otherwise the members of a bucket's largest component are blocks that
+    meet all other blocks, but not each other.
+    """
+    h = F.xxhash64("rep")
+    if within:
+        dealt = members.withColumn("block", F.pmod(h, F.ceil(F.col("n") / BLOCK)).cast("int")).withColumns({"i": F.col("block"), "j": F.col("block")})
+    else:
+        sizes = _merged(members, ["key", "comp"], "rep", [(F.count, "rep", "size")])
+        major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
+        major = major.select("key", F.col("m.comp").alias("major"), F.greatest(F.ceil((F.col("all") - F.col("m.size")) / BLOCK), F.lit(1)).cast("int").alias("rest_blocks"), F.ceil(F.col("m.size") / BLOCK).cast("int").alias("major_blocks"))
+        own = members.join(major, "key").withColumn("is_major", F.col("comp") == F.col("major"))
+        own = own.withColumn("block", F.when(F.col("is_major"), F.col("rest_blocks") + F.pmod(h, F.col("major_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks"))).cast("int"))
+        last = F.col("rest_blocks") + F.when(F.col("is_major"), F.lit(0)).otherwise(F.col("major_blocks")) - 1
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = dealt.join(sketches, "rep").select("key", "i", "j", "block", "rep", "comp", "pivot", "n_shingles", "sketch")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(arrow_map(rows, _crosser(plan, forest), "key long, a long, b long"), "crossed")
+
+
 def _merged(df: DataFrame, key: list[str], member: str, aggs: list) -> DataFrame:
     """Aggregates of each key, merged in two levels; what joins them with their rows can still split a hot key."""
     first = df.groupBy(*key, F.pmod(F.xxhash64(member), F.lit(64)).cast("int").alias("run")).agg(*[f(c).alias(o) for f, c, o in aggs])
@@ -245,20 +307,44 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     stars = stars.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
     bits = [F.aggregate(F.slice(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), at + 1, n), F.lit(0), lambda s, x: s + x) for at, n in ((0, SAMPLE_WORDS), (SAMPLE_WORDS, SKETCH_WORDS - SAMPLE_WORDS))]
     stars = stars.where((bits[0] <= plan.most_bits) & (bits[1] <= allowed_set_bits(F.col("na") + F.col("nb"), plan, F)))
-    stars = stage(stars.select("a", "b"), "stars")
-    links = _confirm(stars, texts, plan, "links")
+    stars = stage(stars.select("a", "b", bits[1].alias("bits")), "stars")
+    best = stars.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
+    links = _confirm(best, texts, plan, "links")
     comps = connected_components(links)
 
-    labelled = posted.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labelled = stage(labelled, "labelled")
-    open_keys = _merged(labelled, ["key"], "rep", [(F.min, "comp", "c0"), (F.max, "comp", "c1")]).where("c0 < c1").select("key")
-    rest = labelled.join(open_keys, "key").where("n > 2").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "rep", "comp", "pivot", "n_shingles", "sketch")
-    dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossed = stage(arrow_map(dealt, _crosser(plan), "a long, b long").distinct(), "crossed")
-    more = _confirm(crossed, texts, plan, "more-links")
-    comps = connected_components(links.unionByName(more))
+    def confirm(pairs):
+        """Take the links among pairs into the components."""
+        nonlocal links, comps
+        found = _confirm(pairs.select("a", "b").distinct(), texts, plan, "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            comps = connected_components(links)
+
+    def across(pairs):
+        """The pairs that join two components."""
+        ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b")]
+        out = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        return out.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*pairs.columns)
+
+    def open_members(buckets):
+        """Members, with their components, of the buckets that hold several components."""
+        labelled = stage(buckets.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
+        open_keys = _merged(labelled, ["key"], "rep", [(F.min, "comp", "c0"), (F.max, "comp", "c1")]).where("c0 < c1").select("key")
+        return labelled.join(open_keys, "key")
+
+    confirm(across(stars.select("a", "b")).join(best, ["a", "b"], "left_anti"))
+    tried = _crossed(open_members(posted.where("n > 2")), sketches, plan, True, True)
+    confirm(tried)
+    large = posted.where(F.col("n") > BLOCK)
+    if large.limit(1).count():
+        more = _crossed(open_members(large), sketches, plan, True, False)
+        confirm(more)
+        tried = tried.unionByName(more)
+    # pairs still across components were refuted; what their buckets' forests may have hidden is confirmed in full
+    refuted = stage(across(tried).distinct(), "refuted")
+    if refuted.limit(1).count():
+        more = _crossed(open_members(posted.join(refuted.select("key").distinct(), "key", "left_semi")), sketches, plan, False, False)
+        confirm(more.join(refuted.select("a", "b").distinct(), ["a", "b"], "left_anti"))
 
     owned = classes.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("comp", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(owned, ["n_shingles", "h1", "h2"], "left")
