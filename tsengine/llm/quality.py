@@ -168,28 +168,31 @@ def _scorer(model):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs.
 
     Scores depend on the text alone; null and empty texts have the features of no token and get a score too. Labels
     other than 0 and 1, and labels of held-out or null ids, are not learnt from; of repeated labels the larger counts.
-    A row with a null id is held out. Other columns are ignored, repeated rows are scored one by one.
+    A row with a null id is held out. Other columns are ignored, repeated rows are scored one by one. Without labels
+    every score is 0.5, with labels of one kind about that label.
     """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
-    scored = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scorer(model), "doc_id long, score double")
+    scored = arrow_map(docs, _scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def _keeper(model, cut: float):
+def _keeper(model, cut: float, text_col: str):
     def run(batches):
         for batch in batches:
-            for piece in tx.slices(batch, "text", 1 << 20):
-                yield piece.filter(pa.array(model.value.score(pooled(piece.column("text"), model.value.contexts)) >= cut))
+            for piece in tx.slices(batch, text_col, 1 << 20):
+                yield piece.filter(pa.array(model.value.score(pooled(piece.column(text_col), model.value.contexts)) >= cut))
 
     return run
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, with all their columns, whose texts score at least cut."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
-    return arrow_map(docs, _keeper(model, cut), docs.schema)
+def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score at least cut (`quality_scores` says how)."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(train(named, labels, rows))
+    return arrow_map(docs, _keeper(model, cut, text_col), docs.schema)

@@ -33,7 +33,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     window = np.zeros(len(data), tx.U)
     slots, texts = [], []
     for k in range(max(SIZES)):
-        window[: len(data) - k] |= data[k:].astype(tx.U) << tx.U(8 * k)
+        window[: max(len(data) - k, 0)] |= data[k:].astype(tx.U) << tx.U(8 * k)
         if k + 1 in SIZES:
             at = np.flatnonzero(left > k)
             slots.append((tx.mix(window[at] + tx.U((k + 1) << 56)) % tx.U(BUCKETS)).astype(np.int32))
@@ -95,7 +95,7 @@ class Model:
         return sigmoid((self.bias + np.bincount(texts, self.weight[slots], len(column))) / self.t)
 
 
-def choose(n0: np.ndarray, n1: np.ndarray, d0: int, d1: int) -> tuple[np.ndarray, np.ndarray]:
+def choose(n0: np.ndarray, n1: np.ndarray, d0: int, d1: int, least: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
     """The slots that tell the classes apart, the best first, and their log-count ratios."""
     p, q = (n1 + 1) / (d1 + 2), (n0 + 1) / (d0 + 2)
     ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
@@ -103,12 +103,15 @@ def choose(n0: np.ndarray, n1: np.ndarray, d0: int, d1: int) -> tuple[np.ndarray
     part = lambda n, d, r: n * np.log(np.maximum(r, 1e-12) / pooled) + (d - n) * np.log(np.maximum(1 - r, 1e-12) / (1 - np.minimum(pooled, 1 - 1e-9)))
     gain = part(n1, d1, n1 / max(d1, 1)) + part(n0, d0, n0 / max(d0, 1))
     order = np.argsort(-gain, kind="stable")
-    order = order[gain[order] > GAIN]
+    order = order[gain[order] > least]
     return order, ratio[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = 30, decay: float = 1e-4) -> Model:
-    """Fitted on at most rows labelled documents that are not held out. The driver gets BUCKETS counts at most."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int = 30, decay: float = 1e-4, gain: float = GAIN) -> Model:
+    """Fitted on at most rows labelled documents that are not held out. The driver gets BUCKETS counts at most.
+
+    Without toxic examples every score is about 0, and without others about 1.
+    """
     sample = fit_sample(docs, labels, "toxic", rows)
     counts = arrow_map(sample, _counter, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     n = np.zeros((2, BUCKETS + 1), np.int64)
@@ -116,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: int
     (d0, d1), n = n[:, -1], n[:, :-1]
     weight = np.zeros(BUCKETS, np.float32)
     if not d0 or not d1:
-        return Model(weight, 0.0 if d0 == d1 else 20.0 if d1 else -20.0)
-    slots, ratio = choose(n[0], n[1], d0, d1)
+        return Model(weight, 20.0 if d1 else -20.0)
+    slots, ratio = choose(n[0], n[1], d0, d1, gain)
     # slots of all texts stay as Arrow sent them, one after the other; texts are taken by id
     found = arrow_map(sample, _finder(slots), "doc_id long, y int, x array<int>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
@@ -161,13 +164,16 @@ def _scorer(model):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, rows: int = FIT_ROWS, gain: float = GAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs.
 
     Scores depend on the text alone; texts shorter than an n-gram, null and empty ones get the model's base rate.
-    Labels other than 0 and 1, and labels of held-out or null ids, are not learnt from; of repeated labels the larger
-    counts. A row with a null id is held out. Other columns are ignored, repeated rows are scored one by one.
+    Without a toxic example to learn from every score is about 0, without any other about 1. Labels other than 0 and 1,
+    and labels of held-out or null ids, are not learnt from; of repeated labels the larger counts. A row with a null id is
+    held out. Other columns are ignored, repeated rows are scored one by one. N-grams whose log-likelihood ratio is gain
+    or less get no weight.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
-    scored = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scorer(model), "doc_id long, score double")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows, gain=gain))
+    scored = arrow_map(docs, _scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
