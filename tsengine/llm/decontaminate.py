@@ -4,13 +4,14 @@ An item contaminates a document if some window of as many words as the item has
 has a weighted similarity of at least `SIMILARITY` with it: the shared weight over the united weight of both multisets
 of five-word shingles, a shingle weighing the bytes of its words.
 
-1. Only windows that hold one of an item's shingles can be that similar to it, so a look-up of the document's shingles
-   in the benchmark's gives, without loss, the ranges of window starts to examine for an item.
-2. Every such window gets a 64-bit SimHash of its weighted shingles; prefix sums slide it along.
-3. Multi-index: fingerprints are cut into `BLOCKS` blocks. Two fingerprints within `RADIUS` bits agree in some block but
-   for `RADIUS // BLOCKS` bits, so looking up all such variants of each block yields every item within the radius.
-4. The windows within the radius are confirmed on the multisets themselves. A pair at the similarity bound differs in
-   about 10 of 64 bits; that it differs in more than `RADIUS` has a probability of a few in a million.
+1. Items of as many shingles form a size. Windows of a size are fingerprinted: a 64-bit SimHash of the window's weighted
+   shingles, slid along by prefix sums. A window without any shingle of the size's items has a similarity of 0 with all
+   of them, so such windows are left out beforehand, without loss (`Index.known` tells which sizes hold a shingle).
+2. Multi-index: fingerprints are cut into `BLOCKS` blocks. Two fingerprints within `RADIUS` bits agree in some block but
+   for `RADIUS // BLOCKS` bits, so for each block a table lists, for every value, the items that come so close. Looking a
+   window's blocks up yields every item of its size within the radius; whole fingerprints then tell which are.
+3. What is within the radius is confirmed on the multisets themselves. A pair at the similarity bound differs in about
+   10 of 64 bits; that it differs in more than `RADIUS` has a probability of a few in a million.
 
 Documents are read once for each block of `ITEM_BYTES` of benchmark text; a block's index is broadcast, which bounds
 what is broadcast whatever the benchmark's size. There is no shuffle.
@@ -32,6 +33,7 @@ from .staging import arrow_map
 U = np.uint64
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 ITEM_BYTES = 8 << 20
+#: Pairs of windows and items that are looked up at a time.
 CHUNK = 1 << 14
 _BITS = np.arange(64, dtype=U)
 
@@ -70,88 +72,105 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 class MultiIndex:
-    """Fingerprints by blocks: for each block, the values that differ from an item's in RADIUS // BLOCKS bits at most."""
+    """Fingerprints by blocks: for each block and value, those that differ from it in RADIUS // BLOCKS bits at most."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints, self.width = prints, 64 // BLOCKS
-        self.values = np.arange(1 << self.width)
-
-    def within(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which of prints lie within the radius of an item, among those that one of their blocks' look-ups yields."""
-        found, own, low = np.zeros(len(prints), bool), int(self.prints[item]), len(self.values) - 1
-        for b in range(BLOCKS):
-            listed = np.bitwise_count(self.values ^ ((own >> (b * self.width)) & low)) <= RADIUS // BLOCKS
-            found |= listed[((prints >> U(b * self.width)) & U(low)).astype(np.int64)]
-        found[found] = np.bitwise_count(prints[found] ^ self.prints[item]) <= RADIUS
+        self.prints, self.tables = prints, None
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in prints, place in the index) of fingerprints within the radius, by the former."""
+        width = 64 // BLOCKS
+        if self.tables is None:  # made where they are used, they are not sent
+            values, low = np.arange(1 << width, dtype=U), U((1 << width) - 1)
+            self.tables = [np.bitwise_count(values[:, None] ^ ((self.prints >> U(b * width)) & low)) <= RADIUS // BLOCKS for b in range(BLOCKS)]
+        found = np.zeros((len(prints), len(self.prints)), bool)
+        for b, table in enumerate(self.tables):
+            found |= table[((prints >> U(b * width)) & U((1 << width) - 1)).astype(np.int64)]
+        window, item = np.nonzero(found)
+        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return window[near], item[near]
+
+
+class Size:
+    """The items of one number of shingles, and their fingerprints."""
+
+    def __init__(self, n: int, items: list[int], shingles: list, weights: list):
+        self.n, self.items = n, items
+        self.shingles, self.weights = [shingles[k] for k in items], [weights[k] for k in items]
+        self.index = MultiIndex(np.concatenate([simhash(x, w, np.zeros(1, np.int64), n) for x, w in zip(self.shingles, self.weights, strict=True)]))
+
+    def best(self, shingles: np.ndarray, weights: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int]]:
+        """Similarity and start of the most similar window (the first of equals) of each item that one is similar to.
+
+        hits are the places of shingles that items of this size hold.
+        """
+        n = min(self.n, len(shingles))
+        last = len(shingles) - n
+        # starts of windows of n shingles that hold a hit, as a union of ranges
+        edge = np.zeros(last + 2, np.int64)
+        np.add.at(edge, np.clip(hits - n + 1, 0, last), 1)
+        np.add.at(edge, np.minimum(hits, last) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        found: dict[int, tuple[float, int]] = {}
+        size = max(CHUNK // len(self.items), 1)
+        for k in range(0, len(starts), size):
+            part = starts[k : k + size]
+            for run in np.split(part, np.flatnonzero(np.diff(part) > n) + 1):
+                base, end = run[0], run[-1] + n
+                prints = simhash(shingles[base:end], weights[base:end], run - base, n)
+                for w, j in zip(*(x.tolist() for x in self.index.within(prints)), strict=True):
+                    s = int(run[w])
+                    value = similarity(shingles[s : s + n], weights[s : s + n], self.shingles[j], self.weights[j])
+                    if value >= SIMILARITY and value > found.get(j, (0.0, 0))[0]:
+                        found[j] = (value, s)
         return found
 
 
 class Index:
-    """A block of the benchmark: shingles to items, and fingerprints by item size."""
+    """A block of the benchmark: items by size, and for shingles of each number of words the sizes that hold them."""
 
     def __init__(self, item_ids: list, texts: list):
         words, sizes, rows = parse(pa.array(texts, pa.string()))
         shingles, weights, at = weighted(words, sizes, rows)
         self.ids, self.n_words = item_ids, np.diff(rows)
-        self.shingles = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.weights = [weights[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        pairs = np.unique(np.stack([shingles, tx.row_of(at).astype(U)]), axis=1) if len(shingles) else np.zeros((2, 0), U)
-        self.known, first = np.unique(pairs[0], return_index=True)
-        self.first, self.item = np.append(first, pairs.shape[1]), pairs[1].astype(np.int64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.known & U(0xFFFFF)).astype(np.int64)] = True
-        self.sizes = sorted({min(int(n), WORDS) for n in self.n_words if n} | {WORDS})
-        self.by_size: dict[int, MultiIndex] = {}
-        self.number = np.zeros(len(item_ids), np.int64)
-        for n in {len(s) for s in self.shingles if len(s)}:
-            members = [k for k, s in enumerate(self.shingles) if len(s) == n]
-            self.number[members] = np.arange(len(members))
-            self.by_size[n] = MultiIndex(np.concatenate([simhash(self.shingles[k], self.weights[k], np.zeros(1, np.int64), n) for k in members]))
+        own = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        weight = [weights[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        members = defaultdict(list)
+        for k, x in enumerate(own):
+            if len(x):
+                members[min(int(self.n_words[k]), WORDS), len(x)].append(k)
+        self.by_width: dict[int, tuple] = {}
+        for width in sorted({w for w, _ in members}):
+            groups = [Size(n, members[w, n], own, weight) for w, n in sorted(members) if w == width]
+            pairs = np.unique(np.concatenate([np.stack([np.concatenate(g.shingles), np.full(sum(map(len, g.shingles)), k, U)]) for k, g in enumerate(groups)], axis=1), axis=1)
+            known, first = np.unique(pairs[0], return_index=True)
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(known & U(0xFFFFF)).astype(np.int64)] = True
+            self.by_width[width] = (groups, known, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64), maybe)
 
     def find(self, column: pa.Array):
         """(row, item, start word, words, similarity) of each contaminated row and item; the most similar window."""
         words, sizes, rows = parse(column)
-        for size in self.sizes:
-            shingles, weights, at = weighted(words, sizes, rows, size)
-            place = np.flatnonzero(self.maybe[(shingles & U(0xFFFFF)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(self.known, shingles[place]), max(len(self.known) - 1, 0))
-            place, slot = (place[ok], slot[ok]) if len(ok := self.known[slot] == shingles[place] if len(self.known) else np.zeros(0, bool)) else (place[:0], slot[:0])
-            times = self.first[slot + 1] - self.first[slot]
+        for width, (groups, known, first, group_of, maybe) in self.by_width.items():
+            shingles, weights, at = weighted(words, sizes, rows, width)
+            place = np.flatnonzero(maybe[(shingles & U(0xFFFFF)).astype(np.int64)])
+            slot = np.minimum(np.searchsorted(known, shingles[place]), len(known) - 1)
+            ok = known[slot] == shingles[place]
+            # a document of fewer words has one odd shingle, which belongs to items of its width alone
+            ok &= np.diff(rows)[np.searchsorted(at, place, "right") - 1] >= width
+            place, slot = place[ok], slot[ok]
+            times = first[slot + 1] - first[slot]
             place = np.repeat(place, times)
-            item = self.item[np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())] if len(times) else np.zeros(0, np.int64)
+            group = group_of[np.repeat(first[slot] - np.cumsum(times) + times, times) + np.arange(times.sum())]
             row = np.searchsorted(at, place, "right") - 1
-            ok = np.minimum(self.n_words[item], WORDS) == size
-            # a document shorter than its shingle has one odd shingle, which belongs to items of that size alone
-            ok &= np.minimum(np.diff(rows)[row], size) == size
-            order = np.lexsort((place[ok], item[ok], row[ok]))
-            place, item, row = place[ok][order], item[ok][order], row[ok][order]
-            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
+            order = np.lexsort((place, group, row))
+            place, group, row = place[order], group[order], row[order]
+            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(group) != 0)) + 1
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(place)), strict=True) if len(place) else ():
-                r, j = int(row[a]), int(item[a])
-                best = self._best(shingles[at[r] : at[r + 1]], weights[at[r] : at[r + 1]], place[a:b] - at[r], j)
-                if best:
-                    yield r, j, best[1], min(int(self.n_words[j]), int(rows[r + 1] - rows[r])), best[0]
-
-    def _best(self, shingles: np.ndarray, weights: np.ndarray, hits: np.ndarray, j: int):
-        n = min(len(self.shingles[j]), len(shingles))
-        last = len(shingles) - n
-        # starts of windows of n shingles that hold a hit, as a union of ranges
-        edge = np.zeros(last + 2, np.int64)
-        np.add.at(edge, np.clip(hits - n + 1, 0, last), 1)
-        np.add.at(edge, np.minimum(hits, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        index = self.by_size[len(self.shingles[j])]
-        best = None
-        for k in range(0, len(starts), CHUNK):
-            part = starts[k : k + CHUNK]
-            for run in np.split(part, np.flatnonzero(np.diff(part) > n) + 1):
-                base, end = run[0], run[-1] + n
-                prints = simhash(shingles[base:end], weights[base:end], run - base, n)
-                for s in run[index.within(prints, int(self.number[j]))]:
-                    value = similarity(shingles[s : s + n], weights[s : s + n], self.shingles[j], self.weights[j])
-                    if value >= SIMILARITY and (best is None or value > best[0]):
-                        best = (value, int(s))
-        return best
+                r, size = int(row[a]), groups[group[a]]
+                for j, (value, start) in sorted(size.best(shingles[at[r] : at[r + 1]], weights[at[r] : at[r + 1]], place[a:b] - at[r]).items()):
+                    item = size.items[j]
+                    yield r, item, start, min(int(self.n_words[item]), int(rows[r + 1] - rows[r])), value
 
 
 def _finder(index):
@@ -190,7 +209,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Texts are taken whole, A-Z lower-cased. Null and empty texts match nothing, items without words match nothing, items
     of fewer than five words are one shingle and match where they stand in full. Rows repeated under one id and items
-    repeated are matched one by one. Other columns are ignored.
+    repeated are matched one by one. Of an item's windows in a text the most similar one is given, of equally similar
+    ones the first. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return reduce(DataFrame.unionByName, [arrow_map(texts, _finder(index), MATCH_ROWS) for index in indexes(benchmark)])
