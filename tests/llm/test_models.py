@@ -1,5 +1,6 @@
 """Token output, packing, decontamination, classifiers, the licence scan and the pipeline."""
 
+import itertools
 import random
 import re
 import zlib
@@ -83,17 +84,67 @@ def test_best_fit():
     # each piece takes the fullest open bin that has room, as a plain search does
     lengths = np.array(sorted((rng.randrange(1, 20) for _ in range(200)), reverse=True))
     bins, _, _ = packing.best_fit(lengths, (20,), 0)
-    room, plain = [], []
-    for n in lengths.tolist():
-        fits = [r for r in room if r >= n]
+    assert len(set(bins.tolist())) == len(plain_bins(lengths.tolist(), [20] * 200))
+    assert packing.best_fit(np.zeros(0, np.int64))[0].tolist() == []
+
+
+def plain_bins(ordered, opened):
+    """What the bins hold, by a plain search."""
+    bins = []
+    for n, size in zip(ordered, opened, strict=True):
+        fits = [b for b in bins if b[1] >= n]
         if fits:
-            k = room.index(min(fits))
-            room[k] -= n
+            b = min(fits, key=lambda b: b[1])
         else:
-            room.append(20 - n)
-        plain.append(sorted(room))
-    assert len(room) == len(set(bins.tolist()))
-    assert packing.best_fit(np.zeros(0, np.int64))[0].tolist() == []
+            bins.append(b := [0, size])
+        b[0], b[1] = b[0] + n, b[1] - n
+    return [b[0] for b in bins]
+
+
+def all_partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in all_partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def bins_cost(fills, capacities, overhead, attention):
+    return sum(float(packing.sequence_cost(np.array([min(c for c in capacities if c >= f)]), overhead, attention)[0]) for f in fills)
+
+
+def chosen_cost(lengths, capacities, overhead, attention):
+    bins, _, sizes = packing.best_fit(lengths, capacities, overhead, attention)
+    return float(packing.sequence_cost(np.array([sizes[bins == b][0] for b in set(bins.tolist())]), overhead, attention).sum())
+
+
+def test_joint_cost_against_all_policies_and_partitions():
+    """Over several lengths, the cost is that of the best policies found by trying all, and near that of all partitions."""
+    rng = random.Random(2)
+    worst = 1.0
+    for capacities, overhead, attention in (((4, 8, 16), 1, 16), ((5, 7, 20), 0.5, 40), ((8, 16, 32, 64), 4, 1000)):
+        for _ in range(6):
+            lengths = np.array(sorted((rng.randrange(1, capacities[-1] + 1) for _ in range(60)), reverse=True))
+            kinds = [next(k for k, c in enumerate(capacities) if c >= n) for n in lengths.tolist()]
+            policies = itertools.product(*[range(k, len(capacities)) for k in range(len(capacities))])
+            least = min(bins_cost(plain_bins(lengths.tolist(), [capacities[p[k]] for k in kinds]), capacities, overhead, attention) for p in policies)
+            worst = max(worst, chosen_cost(lengths, capacities, overhead, attention) / least)
+            few = lengths[:: len(lengths) // 7][:7]
+            best = min(bins_cost(fills, capacities, overhead, attention) for parts in all_partitions(few.tolist()) if max(fills := [sum(p) for p in parts]) <= capacities[-1])
+            assert chosen_cost(few, capacities, overhead, attention) <= 1.2 * best
+    assert worst < 1.01
+    # short lengths are opened where they cost less, long ones where overhead outweighs pairs of tokens
+    short = np.full(100, 120)
+    assert set(packing.best_fit(short, (128, 4096), 0, 1000)[2].tolist()) == {128}
+    assert set(packing.best_fit(short, (128, 4096), 1000, 10**9)[2].tolist()) >= {4096}
+
+
+def test_bins_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = [sorted((r["doc_id"], r["piece"], r["bin_size"], r["bin_offset"]) for r in packing.pack_documents(docs.repartition(n)).collect()) for n in (1, 13)]
+    assert found[0] == found[1]
 
 
 def test_packing(spark, odd_docs, odd_rows, empty_docs):
@@ -180,8 +231,21 @@ def test_fingerprint_index_finds_the_whole_radius():
     for bits in range(40):
         flip = np.uint64(sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))
         prints.append(own ^ flip)
-    found = decontaminate.MultiIndex(np.array([own])).within(np.array(prints), 0)
-    assert found.tolist() == [bits <= decontaminate.RADIUS for bits in range(40)]
+    others = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    window, item = decontaminate.MultiIndex(np.append(own, others)).within(np.array(prints))
+    near = lambda x, y: int(x ^ y).bit_count() <= decontaminate.RADIUS
+    assert set(zip(window.tolist(), item.tolist(), strict=True)) == {(k, j) for k, x in enumerate(prints) for j, y in enumerate([own, *others]) if near(x, y)}
+    assert window[item == 0].tolist() == list(range(decontaminate.RADIUS + 1))
+
+
+def test_fingerprints_alone_find_the_items(monkeypatch):
+    """Candidates come from the index of fingerprints: without it, nothing is found."""
+    items = ["one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen"]
+    index = decontaminate.Index([1, 2], items)
+    text = pa.array(["zero " + " ".join(items) + " end", "one two three four five and no more than that"])
+    assert [(r, index.ids[j], start, n, value) for r, j, start, n, value in index.find(text)] == [(0, 1, 1, 8, 1.0), (0, 2, 9, 8, 1.0)]
+    monkeypatch.setattr(decontaminate, "RADIUS", -1)
+    assert list(decontaminate.Index([1, 2], items).find(text)) == []
 
 
 def classified(spark, scores, folder, label, cut):
@@ -214,10 +278,49 @@ def test_classifiers_on_odd_rows(spark, scores, label, odd_docs, odd_rows, empty
     out = scores(odd_docs, labels).collect()
     assert len(out) == len(odd_rows)
     assert all(0 <= r["score"] <= 1 for r in out)
-    assert scores(odd_docs, labels.where("false")).count() == len(odd_rows)
+    unlabelled = scores(odd_docs, labels.where("false")).collect()
+    assert len(unlabelled) == len(odd_rows)
+    assert all(r["score"] < 0.01 and not r["predicted"] if label == "toxic" else r["score"] == 0.5 for r in unlabelled)
+    renamed = odd_docs.select(F.col("doc_id").alias("n"), F.col("text").alias("body"), F.col("n").alias("doc_id"))
+    assert [r["score"] for r in scores(renamed, labels, id_col="n", text_col="body").collect()] == [r["score"] for r in out]
     assert scores(empty_docs, labels).count() == 0
 
 
+@pytest.mark.parametrize("size", range(7))
+def test_toxicity_of_tiny_texts(spark, size):
+    """A partition with one text shorter than an n-gram, or hardly longer."""
+    for text in ("abcdefg"[:size], None, "\n" * size):
+        found = toxicity.present(*toxicity.ngrams(pa.array([text], pa.string())))[0]
+        assert len(found) == len({(text or "")[a : a + k] for k in toxicity.SIZES for a in range(len(text or "") - k + 1)})
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, "abcdefg"[:size]) for k in (1, 2, 3)], "doc_id long, text string").repartition(3)
+    assert toxicity.toxicity_scores(docs, labels).where("score between 0 and 1").count() == 3
+
+
+def test_long_texts(spark):
+    """Texts longer than the pieces in which workers take them, beside short ones, in operators with Python workers."""
+    from tsengine.llm.near_dedup import Plan, near_groups
+    from tsengine.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(3)
+    long = " ".join(f"{rng.randrange(10**9)}" for _ in range(280_000))
+    passage = long[1_500_000:1_502_000]
+    docs = spark.createDataFrame([(1, "ab"), (2, long), (3, passage), (4, "xy")], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        assert scores(docs, labels).where("score between 0 and 1").count() == 4
+    assert {r["doc_id"]: r["n_shingles"] for r in near_groups(docs, Plan(3, 85, 100)).collect()} == {1: 1, 2: 279_998, 3: len(passage.split()) - 2, 4: 1}
+    item = spark.createDataFrame([(7, " ".join(long[1_800_000:1_800_500].split()[1:-1]))], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(docs, item).where("contaminated").collect()] == [2]
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 2000, 4: 0}
+    assert license_scan.scan_licences(docs).count() == 4
+    huge = spark.createDataFrame([(1, "ab"), (2, "word " * 3_600_000), (3, "xy")], "doc_id long, text string").coalesce(1)
+    packed = packing.pack_documents(huge).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    trip = {r["doc_id"]: r["n_tokens"] for r in token_output.round_trip(huge).collect()}
+    assert {r["doc_id"]: r["n"] for r in packed} == trip
+    assert trip[2] >= 3_600_000
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
@@ -313,3 +416,25 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert ids <= set(kept) & {r["doc_id"] for r in good.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, odd_rows, empty_docs, tmp_path):
+    """Stages keep the columns; nulls, ties, repeated rows and empty tables pass through all of them."""
+    import corpus_pipeline
+
+    rows = {"labels": spark.createDataFrame([(k, k % 2, 0) for k in range(9)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, "word7 word8 word9 word10 word11 word12"), (2, None)], "item_id long, text string")}
+    for name, table in rows.items():
+        table.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        table.where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    odd_docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    empty_docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd_docs, empty_docs):
+            for folder in ("odd", "none"):
+                out = stage(spark, docs, f"{tmp_path}/{folder}")
+                assert out.columns == docs.columns
+                assert out.count() <= docs.count(), name
+    dropped = {r["doc_id"] for r in odd_docs.collect()} - {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, odd_docs, f"{tmp_path}/odd").collect()}
+    assert dropped == {6}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} <= {i for i, _ in odd_rows}
