@@ -10,7 +10,7 @@ from conftest import lower, near_components, shingle_set
 
 from tsengine.llm import near_dedup, suffix_dedup
 from tsengine.llm.anchors import LENGTH, anchors
-from tsengine.llm.components import connected_components
+from tsengine.llm.components import connected_components, joined_components
 from tsengine.llm.exact_dedup import drop_exact_duplicates, exact_groups
 from tsengine.llm.line_dedup import BUCKET, apply_bitmaps, line_bitmaps
 from tsengine.llm.near_dedup import SET_BITS, SKETCH_BITS, Plan, _sets, _summaries, allowed_set_bits, drop_near_duplicates, estimate, near_groups
@@ -46,6 +46,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joined_components(spark):
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(5, 6), (7, 8), (1, 2), (30, 31)]
+    comps = connected_components(links(first))
+    more = [(6, 8), (9, 10), (10, 2), (30, 31), (40, 40)]
+    expected = {r["node"]: r["comp"] for r in connected_components(links(first + more)).collect()}
+    assert {r["node"]: r["comp"] for r in joined_components(comps, links(more)).collect()} == expected
+    assert joined_components(comps, links([(5, 6)])).count() == comps.count()
+
+
 @pytest.mark.parametrize("plan", [Plan(3, 85, 100), Plan()])
 def test_sketches(plan):
     """Bounds that true links pass, for pairs of known similarity."""

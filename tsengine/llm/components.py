@@ -26,4 +26,22 @@ def connected_components(links: DataFrame) -> DataFrame:
         discard(links.sparkSession, labels)
         labels = step.select("node", "comp")
         if not changed:
+            discard(links.sparkSession, edges)
             return labels
+
+
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) of earlier links together with more links (a, b): only their components are joined."""
+    ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b")]
+    named = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    named = stage(named.where("a <> b").distinct(), "joins")
+    some = named.limit(1).count()
+    up = connected_components(named) if some else None
+    discard(links.sparkSession, named)
+    if up is None:
+        return comps
+    up = up.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    # what was no node of a link before is a component of its own
+    moved = comps.join(up, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    new = up.join(comps, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("comp"))
+    return stage(moved.unionByName(new), "components")

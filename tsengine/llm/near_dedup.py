@@ -5,8 +5,7 @@
    set bits as the samples that differ, and for similar sets hardly fewer. A larger one folds all shingles of the set.
 2. Documents with equal sets form classes; only class representatives go on.
 3. Star pairs: each band's bucket pairs its members with its smallest member. The pairs whose sketches could belong to
-   similar sets (bounds that a true link fails with probability `MISS`) are confirmed on the full sets of their texts:
-   first each member's best pair, then those of the others that still join two components.
+   similar sets (bounds that a true link fails with probability `MISS`) are confirmed on the full sets of their texts.
 4. Buckets whose members then lie in one component are settled, as further links inside could not change it. In the
    rest, pairs across components are compared by sketch within tasks, in blocks of bounded size, and of the pairs that
    pass, a task emits a spanning forest of its components only, the fewest differing bits first. So the pairs to confirm
@@ -29,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import connected_components
-from .staging import arrow_map, stage
+from .components import connected_components, joined_components
+from .staging import arrow_map, discard, stage
 
 U = np.uint64
 SKETCH_BITS = 512
 #: Bits of a second sketch, of all shingles of a set.
 SET_BITS = 2048
 MISS = 1e-7
+#: Rows whose bitmaps are counted at a time.
+FOLD = 512
 #: Members of a block of a bucket: a task compares two such blocks at a time.
 BLOCK = 512
 #: Ids of texts to confirm that are broadcast at most; more of them are joined by a shuffle.
@@ -106,9 +107,14 @@ def _sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fold(values: np.ndarray, rows: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Parity bitmaps of each row's values."""
-    flips = np.bincount((values % U(bits)).astype(np.int64) + rows * bits, minlength=n * bits).reshape(n, bits) & 1
-    return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    """Parity bitmaps of each row's values; rows are ascending."""
+    out = np.zeros((n, bits // 64), np.int64)
+    cuts = np.searchsorted(rows, np.arange(0, n + FOLD, FOLD))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        m = min(FOLD, n - k * FOLD)
+        flips = np.bincount((values[a:b] % U(bits)).astype(np.int64) + (rows[a:b] - k * FOLD) * bits, minlength=m * bits).reshape(m, bits) & 1
+        out[k * FOLD : k * FOLD + m] = np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    return out
 
 
 def _summaries(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +186,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, plan: Plan, name: str) -> DataF
     few = nodes.count() <= BROADCAST_IDS
     named = texts.join(F.broadcast(nodes) if few else nodes, F.col("doc_id") == F.col("id"), "left_semi")
     joined = pairs.join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stage(arrow_map(joined.select("a", "b", "text_a", "text_b"), _confirmer(plan), "a long, b long").distinct(), name)
+    links = stage(arrow_map(joined.select("a", "b", "text_a", "text_b"), _confirmer(plan), "a long, b long").distinct(), name)
+    discard(texts.sparkSession, nodes)
+    return links
 
 
 def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> np.ndarray:
@@ -267,7 +275,8 @@ def _crossed(members: DataFrame, sketches: DataFrame, plan: Plan, forest: bool,
         dealt = members.withColumn("block", F.pmod(h, F.ceil(F.col("n") / BLOCK)).cast("int")).withColumns({"i": F.col("block"), "j": F.col("block")})
     else:
         sizes = _merged(members, ["key", "comp"], "rep", [(F.count, "rep", "size")])
-        major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
+        # by a second, constant key, so that the join deals both sides anew and can split a hot bucket
+        major = sizes.groupBy("key", F.shiftright(F.pmod(F.xxhash64("comp"), F.lit(64)).cast("int"), 6).alias("run")).agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
         major = major.select("key", F.col("m.comp").alias("major"), F.greatest(F.ceil((F.col("all") - F.col("m.size")) / BLOCK), F.lit(1)).cast("int").alias("rest_blocks"), F.ceil(F.col("m.size") / BLOCK).cast("int").alias("major_blocks"))
         own = members.join(major, "key").withColumn("is_major", F.col("comp") == F.col("major"))
         own = own.withColumn("block", F.when(F.col("is_major"), F.col("rest_blocks") + F.pmod(h, F.col("major_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks"))).cast("int"))
@@ -307,18 +316,12 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     stars = stars.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
     bits = [F.aggregate(F.slice(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), at + 1, n), F.lit(0), lambda s, x: s + x) for at, n in ((0, SAMPLE_WORDS), (SAMPLE_WORDS, SKETCH_WORDS - SAMPLE_WORDS))]
     stars = stars.where((bits[0] <= plan.most_bits) & (bits[1] <= allowed_set_bits(F.col("na") + F.col("nb"), plan, F)))
-    stars = stage(stars.select("a", "b", bits[1].alias("bits")), "stars")
-    best = stars.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
-    links = _confirm(best, texts, plan, "links")
-    comps = connected_components(links)
+    comps = connected_components(_confirm(stage(stars.select("a", "b"), "stars"), texts, plan, "links"))
 
     def confirm(pairs):
         """Take the links among pairs into the components."""
-        nonlocal links, comps
-        found = _confirm(pairs.select("a", "b").distinct(), texts, plan, "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comps = connected_components(links)
+        nonlocal comps
+        comps = joined_components(comps, _confirm(pairs.select("a", "b").distinct(), texts, plan, "links"))
 
     def across(pairs):
         """The pairs that join two components."""
@@ -332,7 +335,6 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
         open_keys = _merged(labelled, ["key"], "rep", [(F.min, "comp", "c0"), (F.max, "comp", "c1")]).where("c0 < c1").select("key")
         return labelled.join(open_keys, "key")
 
-    confirm(across(stars.select("a", "b")).join(best, ["a", "b"], "left_anti"))
     tried = _crossed(open_members(posted.where("n > 2")), sketches, plan, True, True)
     confirm(tried)
     large = posted.where(F.col("n") > BLOCK)

@@ -7,8 +7,10 @@ A table written through Spark's commit protocol survives the loss of executors,
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -51,7 +53,32 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _trim() -> None:
+    """Give memory that is free but held back to the system: idle workers keep what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _tidy(function):
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+#: Rows of a batch that goes to a worker, where the session leaves Spark's default: texts of kilobytes then make batches
+#: of megabytes, of which JVM and worker hold several.
+BATCH_ROWS, BATCH_SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow whose workers can import this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    if df.sparkSession.conf.get(BATCH_SETTING) == "10000":
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df.mapInArrow(_tidy(function), schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Letters, then punctuation that no special token or contraction holds.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-;=?@\[-^`{}~]*)")
 _open: dict[str, _Encoder] = {}
