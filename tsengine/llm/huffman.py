@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 
+#: The longest code, and for more ids than it has codes the shortest length that has enough.
 MAX_BITS = 16
+
+
+def longest_code(n: int) -> int:
+    """The most bits of a code of n ids."""
+    return max(MAX_BITS, (n - 1).bit_length())
+
+
 #: Ids between two bit-offset checkpoints; each such stretch is decoded by itself, all of them in step.
 STRIDE = 256
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most limit bits (package-merge); 0 for ids that don't occur."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most limit bits (package-merge; `longest_code` by default); 0 for absent ids."""
     lengths = np.zeros(len(counts), np.uint8)
     ids = np.flatnonzero(counts)
     n = len(ids)
     if n <= 1:
         lengths[ids] = 1
         return lengths
+    limit = limit or longest_code(n)
     if n > 1 << limit:
         raise ValueError(f"{n} symbols don't fit codes of {limit} bits")
     ids = ids[np.argsort(counts[ids], kind="stable")]
@@ -51,12 +60,13 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id and the length of the code that each MAX_BITS-bit window starts with."""
-    symbol, size = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.uint8)
+    """The id and the length of the code that each window of the longest code's bits (MAX_BITS at least) starts with."""
+    bits = max(MAX_BITS, int(lengths.max(initial=0)))
+    symbol, size = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint8)
     code = codes(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    width = (1 << (MAX_BITS - lengths[order].astype(np.int64))).astype(np.int64)
+    width = (1 << (bits - lengths[order].astype(np.int64))).astype(np.int64)
     end = int(width.sum())
     assert not len(order) or int(code[order[0]]) == 0
     symbol[:end] = np.repeat(order, width)
@@ -90,9 +100,9 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: np.ndarr
     at = np.concatenate([c.astype(np.int64) + b for c, b in zip(checkpoints, base, strict=True)])
     own = np.concatenate([np.minimum(STRIDE, n - np.arange(len(c)) * STRIDE) for c, n in zip(checkpoints, sizes, strict=True)])
     out = np.empty((len(at), STRIDE), np.uint32)
-    last = len(pairs) - 1
+    last, rest = len(pairs) - 1, np.uint64(65 - len(symbol).bit_length())
     for k in range(STRIDE):
-        window = (pairs[np.minimum(at >> 5, last)] << (at & 31).astype(np.uint64)) >> np.uint64(64 - MAX_BITS)
+        window = (pairs[np.minimum(at >> 5, last)] << (at & 31).astype(np.uint64)) >> rest
         window = window.astype(np.int64)
         out[:, k] = symbol[window]
         at += size[window]

@@ -233,8 +233,9 @@ def _scanner(model):
 def scan_licences(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs and found (paragraph, byte range, family, probability, share) of every row of docs.
 
-    Null and empty texts are one empty paragraph and hold no licence; a newline at the end of a text opens no other. Rows with null or repeated ids are scanned one by
-    one. Other columns are ignored. Without a model one is fitted, its unknown class on docs.
+    Null and empty texts are one empty paragraph and hold no licence; a newline at the end of a text opens no other. Of
+    families equally likely the first in the order of FAMILIES is predicted. Rows with null or repeated ids are scanned
+    one by one. Other columns are ignored. Without a model one is fitted, its unknown class on docs.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = model or fit(corpus_paragraphs(texts))

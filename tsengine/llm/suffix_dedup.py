@@ -6,7 +6,7 @@ of a corpus would move a hundred bytes for each byte of text, so suffixes are ta
 
 1. One pass over the texts emits, for each anchor, its gram's hash, a hash of its whole context, and its place.
    Contexts repeated within a task are settled there: all but the earliest occurrence are spans to remove.
-2. By gram: contexts equal in both hashes are settled in the same way. A gram with one context is done. Where contexts
+2. By gram: contexts of a gram equal in their hashes (64 bits of the gram, 64 of the whole context) are settled alike. A gram with one context is done. Where contexts
    differ (at the edges of repeats, and by chance), the earliest of each context is requested as text.
 3. Requested contexts are cut from the texts and sent to their gram. There the suffixes from the anchors on, and the
    reversed prefixes before them, are sorted (multikey quicksort, then blind tries); common prefixes of neighbours give

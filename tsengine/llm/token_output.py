@@ -1,7 +1,7 @@
 """Token ids in a compressed file format, and back.
 
 A dataset is a folder with `codebook` (one row: the code lengths of all ids and the end id) and `blocks` (Parquet, one
-row per block). Ids have canonical Huffman codes of at most 16 bits, made from counts over the whole corpus. A block
+row per block). Ids have canonical Huffman codes of at most 16 bits (more only if over 65,536 ids occur), made from counts over the whole corpus. A block
 holds whole documents (about `BLOCK_IDS` ids, or one longer document) and is decoded by itself: its bits, the bit offset
 of every 256th id, its documents' ids and sizes, its part and the ids before it in the part. Parts are ranges of
 ascending document ids. Blocks are written by Spark's commit protocol to any store that Spark can write.
