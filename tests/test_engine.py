@@ -1,12 +1,14 @@
 """Operators on literal samples with answers worked out by hand, and against brute force."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tsengine.model import Metric, TableSource
+from tsengine.operators import ranges
 from tsengine.plans.compiler import QueryError
 from tsengine.plans.engine import Engine
 from tsengine.plans.syntax import QuerySyntaxError
@@ -247,3 +249,47 @@ def test_windows_against_brute_force(spark, points, function, window, step):
     e = engine(spark, m=metric(spark, points))
     got = {r["ts"]: round(r["value"], 9) for r in e.range(f"{function}(m[{window}s])", 10, 100, step).collect()}
     assert got == {t: round(v, 9) for t, v in brute_windows([p for p in points if p[0] <= 100], function, window, 10, 100, step).items()}
+
+
+@pytest.mark.parametrize("function", ["rate", "irate", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "count_over_time", "stddev_over_time", "stdvar_over_time"])
+@pytest.mark.parametrize(("window", "step"), [(40, 7), (36, 6), (100, 4), (64, 64)])
+def test_panes_equal_expansion(spark, monkeypatch, function, window, step):
+    """By panes and by expanding samples, for labelled series and one without labels."""
+    rng = random.Random(window)
+    rows = [(s, t, float(rng.randrange(50))) for s in "ab" for t in sorted(rng.sample(range(-150, 300), 90))]
+    for e in (engine(spark, m=metric(spark, rows, ["s"])), engine(spark, m=metric(spark, [r[1:] for r in rows if r[0] == "a"]))):
+        found = []
+        for overlap in (1, 10**9):
+            monkeypatch.setattr(ranges, "OVERLAP", overlap)
+            df = e.range(f"{function}(m[{window}s])", 3, 270, step)
+            found.append({tuple(r[c] for c in df.columns if c != "value"): round(r["value"], 6) for r in df.collect()})
+        assert found[0] == found[1] and found[0]
+
+
+def test_a_month_over_minutes(spark):
+    """[30d] at steps of 60 s: 43,200 points a sample, by panes."""
+    day = 86_400
+    e = engine(spark, m=metric(spark, [("a", t, float(t % 1000)) for t in range(0, 31 * day, 3600)] + [("b", 5, 1.0)], ["s"]))
+    df = e.range("max_over_time(m[30d])", 30 * day, 31 * day, 60)
+    assert df.where("s = 'a'").count() == 1441
+    assert {r["value"] for r in df.where("s = 'a'").collect()} == {800.0}
+    assert df.where("s = 'b'").count() == 1
+    assert e.range("count_over_time(m[30d])", 30 * day, 31 * day, 60).where("s = 'a' and ts = 2592000").first()["value"] == 721.0
+
+
+def test_neighbours_in_chunks(spark, monkeypatch):
+    """A series without labels is ordered in chunks of time; neighbours across chunks, over empty ones too, are the same."""
+    monkeypatch.setattr(ranges, "CHUNKS", 7)
+    times = [1, 2, 3, 50, 51, 90, 91, 99, 100]
+    df = spark.createDataFrame([(t, float(t)) for t in times], "ts long, value double")
+    got = {r["ts"]: (r["p"], r["v"]) for r in ranges.with_neighbour(df, [], 100, {"ts": "p", "value": "v"}).collect()}
+    assert got == {t: (b, None if b is None else float(b)) for t, b in zip(times, [None, *times], strict=False)}
+    after = {r["ts"]: r["n"] for r in ranges.with_neighbour(df, [], 100, {"ts": "n"}, after=True).collect()}
+    assert after == dict(zip(times, [*times[1:], None], strict=True))
+
+
+def test_quantiles_of_equal_values_and_nothing(spark):
+    e = engine(spark, m=metric(spark, [("a", t, v) for t, v in ((1, 2.0), (2, 2.0), (3, 5.0))] + [("b", 1, float("nan"))], ["s"]))
+    assert rows(e.range("quantile_over_time(0.5, m[1s])", 0, 3), "s", "value")[0] == ("a", 2.0)
+    assert e.range("quantile_over_time(2, m[9s])", 0, 3, 2).count() == 0
+    assert rows(e.instant('quantile(1, m{s="a"})', 9), "ts", "value") == [(3, 5.0)]

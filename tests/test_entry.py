@@ -14,6 +14,13 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_every_query_has_sql(spark):
+    """Each query over series is compared with SQL."""
+    from tsengine import more_queries
+
+    assert set(more_queries.QUERIES) == set(more_queries.SQL)
+
+
 def test_imports_without_text_operators(tmp_path):
     """A copy of the library without that subpackage, and without the pipeline, still imports."""
     code = "import __spark_entry__ as e, sys; assert 'flagship_sum_rate' in e.queries() and not any(k.startswith('op1') for k in e.queries()); assert 'tsengine.llm' not in sys.modules"

@@ -1,19 +1,23 @@
 """Sources, stores, downsampling and streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tsengine.api import Service, answer
+from tsengine.functions.pipeline import per_series
 from tsengine.model import MapSource, labels_key
 from tsengine.operators.downsample import Level, as_metrics, coarser, downsample, level_for
 from tsengine.plans.engine import Engine
+from tsengine.sources.buffer import WriteBuffer
 from tsengine.sources.exposition import flat_name, parse_lines, target_labels, write_text
+from tsengine.sources.hybrid import hybrid, in_memory, on_disk, partitioned
 from tsengine.sources.json_writes import parse_requests
-from tsengine.sources.scrape import ConfigError, landed_samples, load_config
+from tsengine.sources.scrape import ConfigError, landed_samples, load_config, scrape
 from tsengine.sources.store import Store, in_order, merge_hot_cold
-from tsengine.streaming.ingest import downsampled, first_writes, into_store, stream_json
+from tsengine.streaming.ingest import downsampled, first_writes, into_store, stream_json, stream_scraped
 
 TEXT = """# HELP http_requests_total Total HTTP requests
 # TYPE http_requests_total counter
@@ -91,12 +95,158 @@ def test_store(spark, tmp_path):
     plan = e.range("m", 100_000, 200_000)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [" in plan
     assert [r["labels_key"] for r in store.find_series({"__name__": "m", "a": "2"}).collect()] == ['m{a="2"}']
-    assert {(r["label"], r["value"]): r["series"] for r in store.postings().collect()} == {("a", "1"): ['m{a="1"}'], ("a", "2"): ['m{a="2"}']}
-    assert store.compact(str(tmp_path / "compact")).samples().count() == 4
+    assert sorted((r["label"], r["value"], r["labels_key"]) for r in store.postings().collect()) == [("a", "1", 'm{a="1"}'), ("a", "2", 'm{a="2"}')]
+    ids = {r["labels_key"]: r["series"] for r in store.series().collect()}
+    assert [r["labels_key"] for r in store.labels_for([ids["n{}"]]).collect()] == ["n{}"]
+    compact = store.compact(str(tmp_path / "compact"))
+    assert compact.samples().count() == 4
+    plan = Engine(spark, compact.source()).range('m{a="2"}', 0, 200_000)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*ts#", plan)  # nothing stored twice, so nothing to deduplicate
+    assert "EqualTo(name,m)" in plan and "EqualTo(series," in plan.replace("In(series, [", "EqualTo(series,")
     assert store.expire(now=200_000, keep_seconds=100_000) == [0]
     assert store.samples().count() == 1
 
 
+def test_store_writes_replace_themselves(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for value in (1.0, 2.0):
+        store.write(samples(spark, [("m", {"a": "1", "b": "2"}, 100, value)]), 7)
+    store.write(samples(spark, [("m", {"b": "2", "a": "1"}, 100, 3.0), ("m", {"a": "1", "b": "2"}, 101, 4.0), ("m", {"a": "1", "b": "2"}, 101, 3.5)]), 8)
+    assert sorted((r["ts"], r["value"]) for r in store.samples().collect()) == [(100, 2.0), (101, 3.5)]
+    assert store.series().count() == 1
+    with pytest.raises(Exception, match="one id for two series"):
+        rows = samples(spark, [("x", {}, 1, 1.0)]).withColumn("series", F.lit(store.series().first()["series"]))
+        store._write_series(rows, 9)
+
+
+def test_store_is_compact(spark, tmp_path):
+    """A thousand samples a minute apart, ten different values, take less than 8 bytes each."""
+    rows = samples(spark, [("cpu", {"host": "a"}, 1_700_000_000 + 60 * k, 50.0 + k % 10) for k in range(20_000)])
+    Store(spark, str(tmp_path / "store"), spread=1).write(rows, 1)
+    size = sum(p.stat().st_size for p in (tmp_path / "store" / "samples").rglob("*.parquet"))
+    assert size / 20_000 < 8
+
+
+def test_corrupt_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write(samples(spark, [("m", {}, 100, 1.0)]), 1)
+    (tmp_path / "store/samples/seq=1/bucket=0/part-broken.parquet").write_text("no Parquet, however long one looks")
+    with pytest.raises(Exception, match="Parquet|parquet"):
+        store.samples().collect()
+    assert Store(spark, store.path, skip_corrupt=True).samples().count() == 1
+
+
+def test_hybrid(spark, tmp_path):
+    store = on_disk(spark, str(tmp_path / "store"))
+    store.write(samples(spark, [("m", {"a": "1"}, 100, 1.0), ("m", {"a": "1"}, 4000, 2.0), ("old", {}, 5, 1.0)]), 1)
+    both = hybrid(store, samples(spark, [("m", {"a": "1"}, 100, 7.0), ("m", {"a": "1", "b": "x"}, 4000, 9.0), ("new", {}, 5, 1.0)]))
+    assert both.names() == ["m", "new", "old"]
+    assert both.labels_of("m") == ["a", "b"]
+    got = lambda source: sorted((r["b"] or "", r["ts"], r["value"]) for r in Engine(spark, source).range("m", 0, 5000).collect())
+    assert got(both) == [("", 100, 7.0), ("", 4000, 2.0), ("x", 4000, 9.0)]
+    assert got(both.evicted(3700)) == [("", 100, 1.0), ("", 4000, 2.0), ("x", 4000, 9.0)]
+    assert partitioned(spark, str(tmp_path / "parts"), 3).spread == 3
+    assert in_memory(samples(spark, [("m", {}, 1, 1.0)])).names() == ["m"]
+    assert on_disk(spark, store.path, keep_seconds=10, now=10**9).samples().count() == 0
+
+
+def test_write_buffer(spark, tmp_path):
+    now, number = [0.0], iter(range(1, 99))
+    buffer = WriteBuffer(Store(spark, str(tmp_path / "store")), points=3, seconds=5, clock=lambda: now[0], number=lambda: next(number))
+    stored = lambda: buffer.store.samples().count()
+    buffer.add([("m", {}, k, 1.0) for k in range(2)])
+    assert (len(buffer), stored(), buffer.waiting().count()) == (2, 0, 2)
+    buffer.add([("m", {}, k, 1.0) for k in range(2, 7)])
+    assert (len(buffer), stored()) == (1, 6)
+    now[0] = 6.0
+    buffer.add([("m", {}, 8, 1.0)])
+    assert (len(buffer), stored()) == (0, 8)
+    buffer.flush()
+    assert stored() == 8
+
+
+@pytest.fixture
+def target():
+    """A page that counts how often it is fetched."""
+    import http.server
+    import threading
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'up{a="1"} 5\n# nothing\nn 3 60\n')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_scraping(spark, target, tmp_path):
+    config = json.dumps({"scrape_configs": [{"job_name": "j", "scrape_interval": "1s", "scrape_timeout": "1s", "metric_prefix": "p", "static_configs": [{"targets": [target, "127.0.0.1:1"], "labels": {"env": "e"}}]}]})
+    pages = scrape(spark, config)
+    assert pages.rdd.getNumPartitions() == 2
+    got = {(r["name"], r["value"], tuple(sorted(r["labels"].items()))) for r in landed_samples(pages).collect()}
+    fixed = (("env", "e"), ("instance", target), ("job", "j"))
+    assert got == {("p.up", 5.0, (("a", "1"), *fixed)), ("p.n", 3.0, fixed)}
+    store = Store(spark, str(tmp_path / "store"))
+    query = into_store(stream_scraped(spark, config), store, str(tmp_path / "check"), "1 second")
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            if store.samples().where("name = 'p.up'").count() >= 2:
+                break
+    finally:
+        query.stop()
+    assert store.samples().where("name = 'p.up'").count() >= 2
+    assert store.samples().where("name = 'p.n'").count() == 1
+
+
+def test_service_requests(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    service = Service(Engine(spark, store.source()), WriteBuffer(store, points=1))
+    assert service.write('{"metric": "m", "value": 2, "timestamp": 1700000000000, "tags": {"a": 1}}') == (200, '{"status": "success", "written": 1}')
+    assert json.loads(service.handle("POST", "/api/v1/write/batch", {}, '[{"metric": "m", "value": 3, "time": 1700000060}, {"value": 1}]')[1])["written"] == 1
+    for body in ("", "[]", '{"value": 1}', '{"metric": "m", "value": "x"}'):
+        assert service.write(body)[0] == 400
+    service = Service(Engine(spark, store.source()))
+    assert service.handle("POST", "/api/v1/write", {}, "{}")[0] == 405
+    assert json.loads(service.handle("GET", "/api/v1/labels", {})[1])["data"] == ["__name__", "a"]
+    assert json.loads(service.handle("GET", "/api/v1/label/a/values", {})[1])["data"] == ["1"]
+    series = json.loads(service.handle("GET", "/api/v1/series", {"match[]": ["m"]})[1])["data"]
+    assert sorted(map(str, series)) == ["{'__name__': 'm', 'a': '1'}", "{'__name__': 'm'}"]
+    status, body = service.handle("GET", "/api/v1/query_range", {"query": "m", "start": "1700000000", "end": "1700000060", "profile": "true"})
+    assert status == 200 and json.loads(body)["profile"]["rows"] == 4  # two series and two samples
+    assert service.stats["rows_read"] >= 2 and service.stats["range_seconds_max"] > 0
+
+
+def test_answers_are_bounded(spark, monkeypatch):
+    service = Service(Engine(spark, MapSource(samples(spark, [("m", {"k": str(k)}, 1, 1.0) for k in range(5)]))))
+    monkeypatch.setattr("tsengine.api.MOST_SERIES", 4)
+    assert service.query("m", 5)[0] == 400
+    assert service.query("sum(m)", 5)[0] == 200
+
+
+def test_queries_time_out(spark):
+    """A query whose function never ends is cancelled, and the service answers on."""
+    engine = Engine(spark, MapSource(samples(spark, [("m", {"k": "a"}, 1, 1.0)])))
+
+    def slow(pdf):
+        import time
+
+        time.sleep(60)
+        return pdf
+
+    engine.register("slow", per_series(slow, "name string, k string, ts long, value double"))
+    service = Service(engine, timeout=2)
+    assert service.pipeline([{"query": "m", "start": 1, "end": 5}, {"function": "slow"}])[0] == 500
+    assert service.query("m", 5)[0] == 200
+
+
 def test_arrival_order(spark):
     rows = [("m", {}, "m{}", t, float(k), k) for k, t in enumerate([1000, 1000, 500, 1001, 3500, 3601, 3000])]
     df = spark.createDataFrame(rows, "name string, labels map<string,string>, labels_key string, ts long, value double, seq long")

@@ -31,9 +31,9 @@ def labels_key(name: Column, labels: Column) -> Column:
     return F.concat(name, F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-def series_hash(key: Column) -> Column:
-    """A 64-bit hint for dealing out series; never their identity."""
-    return F.xxhash64(key)
+def series_id(name: Column, labels: Column) -> Column:
+    """A 64-bit id of a series, the same however its labels are ordered; a store's table of series tells ids apart."""
+    return F.xxhash64(name, F.array_sort(F.map_entries(labels)))
 
 
 @dataclass
@@ -59,7 +59,8 @@ class TableSource:
     def labels_of(self, name: str) -> list[str]:
         return self.metrics[name].labels
 
-    def scan(self, name: str, low: int | None, high: int | None, labels: list[str]) -> DataFrame:
+    def scan(self, name: str, low: int | None, high: int | None, labels: list[str], matchers: tuple = ()) -> DataFrame:
+        """Label columns, ts and value; a source may use matchers to read less, callers filter all the same."""
         df = self.metrics[name].wide()
         return df.select(*[label_column(x) for x in labels if x in self.metrics[name].labels], "ts", "value").where(between(F.col("ts"), low, high))
 
@@ -71,9 +72,13 @@ class MapSource:
     df: DataFrame
     bucket_size: int | None = None
     _labels: dict[str, list[str]] = field(default_factory=dict)
+    _names: list[str] | None = None
 
     def names(self) -> list[str]:
-        return sorted(r[0] for r in self.df.select("name").distinct().collect())
+        """Names of all metrics: one small job, its result kept."""
+        if self._names is None:
+            self._names = sorted(r[0] for r in self.df.select("name").distinct().collect())
+        return self._names
 
     def labels_of(self, name: str) -> list[str]:
         """The metric's label names: one small job, its result kept."""
@@ -82,7 +87,7 @@ class MapSource:
             self._labels[name] = sorted(r["k"] for r in rows)
         return self._labels[name]
 
-    def scan(self, name: str, low: int | None, high: int | None, labels: list[str]) -> DataFrame:
+    def scan(self, name: str, low: int | None, high: int | None, labels: list[str], matchers: tuple = ()) -> DataFrame:
         df = self.df.where(F.col("name") == name).where(between(F.col("ts"), low, high))
         if self.bucket_size:  # partitions are pruned by the bucket, never by a filter on ts
             floor = lambda x: None if x is None else x // self.bucket_size * self.bucket_size
@@ -111,12 +116,20 @@ def event_value(spark: SparkSession, sf_dir: str) -> Metric:
     return Metric(first_write(df, ["event_type", "user_id"], F.col("event_id")), ["event_type", "user_id"])
 
 
-def event_total(spark: SparkSession, sf_dir: str) -> Metric:
-    """A counter of events by type: counts per second first, so that the running sum orders seconds, not events."""
+def event_total(spark: SparkSession, sf_dir: str, day: int = 86_400) -> Metric:
+    """A counter of events by type: counts of seconds, summed within days on top of the days before.
+
+    So the running sum orders a day's seconds in a task, and the days themselves, never all of a type's seconds.
+    """
     from pyspark.sql import Window
 
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", F.unix_timestamp("ts").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
-    return Metric(df.select("event_type", "ts", F.sum("n").over(Window.partitionBy("event_type").orderBy("ts")).cast("double").alias("value")), ["event_type"])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.unix_timestamp("ts").alias("ts"))
+    seconds = events.groupBy("event_type", "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.floor(F.col("ts") / day))
+    days = events.groupBy("event_type", F.floor(F.col("ts") / day).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("event_type", "day", F.coalesce(earlier, F.lit(0)).alias("before"))
+    total = F.sum("n").over(Window.partitionBy("event_type", "day").orderBy("ts")) + F.col("before")
+    return Metric(seconds.join(days, ["event_type", "day"]).select("event_type", "ts", total.cast("double").alias("value")), ["event_type"])
 
 
 def order_totalprice(spark: SparkSession, sf_dir: str) -> Metric:

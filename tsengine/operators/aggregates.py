@@ -37,9 +37,8 @@ def aggregate(v: Vector, op: str, labels: tuple[str, ...], without: bool, parame
     if op == "quantile":
         if not 0 <= parameter <= 1:
             return Vector(v.df.where(F.lit(False)).select(*columns, "t", "ts", "value"), by)
-        value = floor_quantile(parameter, F.collect_list("value"), F.count("value"))
-    else:
-        value = PLAIN[op]()
+        return Vector(floor_quantile(v.df, [*columns, "t"], parameter), by)
+    value = PLAIN[op]()
     return Vector(v.df.groupBy(*columns, "t").agg(F.max("ts").alias("ts"), value.alias("value")), by)
 
 

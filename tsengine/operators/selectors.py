@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import col, label_column
 from ..plans.syntax import Matcher
+from .ranges import with_neighbour
 from .vector import Vector
 
 
@@ -24,7 +25,7 @@ def matches(matcher: Matcher, known: bool) -> Column:
 def select(source, name: str, matchers: tuple[Matcher, ...], low: int | None, high: int | None, shift: int = 0) -> Vector:
     """A metric's raw samples with ts in [low, high], moved later by shift seconds; t is ts."""
     labels = source.labels_of(name)
-    df = source.scan(name, None if low is None else low - shift, None if high is None else high - shift, labels)
+    df = source.scan(name, None if low is None else low - shift, None if high is None else high - shift, labels, matchers)
     for m in matchers:
         df = df.where(matches(m, m.label in labels))
     moved = df.withColumn("ts", F.col("ts") + F.lit(shift)) if shift else df
@@ -44,10 +45,9 @@ def resample(v: Vector, start: int, end: int, step: int) -> Vector:
     A sample holds from its time until the next one's, so it is expanded to the grid points it covers (two at most);
     no grid is joined.
     """
-    following = F.lead("ts").over(Window.partitionBy(*v.columns).orderBy("ts")) if v.columns else F.lead("ts").over(Window.partitionBy(F.lit(0)).orderBy("ts"))
     last = F.least(F.col("ts") + F.lit(int(step * 1.1)), F.coalesce(F.col("next") - 1, F.lit(end)), F.lit(end))
     first_k, last_k = F.greatest(F.ceil((F.col("ts") - start) / F.lit(float(step))), F.lit(0)), F.floor((F.col("last") - start) / F.lit(float(step)))
-    df = v.df.withColumn("next", following).withColumn("last", last).withColumns({"a": first_k.cast("long"), "b": last_k.cast("long")})
+    df = with_neighbour(v.df, v.columns, end - start + step, {"ts": "next"}, after=True).withColumn("last", last).withColumns({"a": first_k.cast("long"), "b": last_k.cast("long")})
     df = df.where("b >= a").withColumn("k", F.explode(F.sequence("a", "b"))).withColumn("t", F.lit(start) + F.col("k") * step)
     return Vector(df.select(*v.columns, F.col("t").cast("long").alias("t"), F.col("t").cast("long").alias("ts"), "value"), v.labels, v.name)
 

@@ -153,7 +153,7 @@ class _Compiler:
             return selectors.spread(moved, times.start, times.end, times.step or max(1, times.end - times.start))
         if not times.instant and not times.grid:  # without a step: one value for the whole range
             samples = self.samples(of, times.start, times.end, times)
-            return ranges.whole(samples, node.name, times.end, q)
+            return ranges.whole(samples, node.name, times.end, q, times.end - times.start)
         window = of.window if of.window is not None else times.end
         samples = self.samples(of, times.start - back * window, times.end, times)
         step = times.step or 1

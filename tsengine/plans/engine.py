@@ -100,7 +100,7 @@ class Engine:
             if trees and not own:
                 continue
             labels = self.source.labels_of(name)
-            df = self.source.scan(name, start, end, labels)
+            df = self._labelled(name, start, end, labels, own)
             if own:
                 df = df.where(reduce(lambda a, b: a | b, (_all(t.matchers, labels) for t in own)))
             pairs = [F.struct(F.lit(x).alias("key"), F.col(f"`{label_column(x)}`").alias("value")) for x in labels]
@@ -111,6 +111,13 @@ class Engine:
             return self.spark.createDataFrame([], "name string, labels map<string,string>")
         return reduce(DataFrame.unionByName, frames)
 
+    def _labelled(self, name: str, start: int | None, end: int | None, labels: list[str], trees: list) -> DataFrame:
+        """Label columns of a metric's series; a source with a table of series reads no samples without a range."""
+        if hasattr(self.source, "series"):
+            own = tuple(m for m in trees[0].matchers if m.label != "__name__") if len(trees) == 1 else ()
+            return self.source.series(name, start, end, labels, own)
+        return self.source.scan(name, start, end, labels)
+
     def series(self, matchers: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
         """Series that any selector matches and that have a sample in the range; at least one selector is needed."""
         if not matchers:

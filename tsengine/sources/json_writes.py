@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time as clock
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,12 @@ def _struct() -> str:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Samples of files of requests, one a line, read with a fixed schema."""
     return samples(spark.read.schema(REQUEST).json(path))
+
+
+def point(request: dict, now: float | None = None) -> tuple | None:
+    """One request as (name, labels, ts, value), by the rules of `samples`; None without a metric or a value."""
+    if not request.get("metric") or request.get("value") is None:
+        return None
+    ts = int(request.get("timestamp") or request.get("time") or (clock.time() if now is None else now))
+    labels = {**(request.get("tags") or {}), **(request.get("labels") or {})}
+    return request["metric"], {k: str(v) for k, v in labels.items()}, ts // 1000 if ts > 9_999_999_999 else ts, float(request["value"])

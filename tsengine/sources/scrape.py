@@ -1,23 +1,27 @@
-"""Scraped targets: configuration, and a landing folder of exposition text that streams are read from.
+"""Scraped targets: configuration, and a data source whose partitions are targets, fetched by executors.
 
-Fetching a page is left to whatever lands it (`fetch` is a plain one for small set-ups); parsing and labelling run in
-Spark. A landed line is JSON with the target's url and the page's text, so that one stream serves all targets.
+`spark.read.format("tsengine_scrape")` fetches every target once; `spark.readStream` fetches each job's at its interval, all
+targets of a tick at the same time, a task for each. Either gives pages (`LANDED`); `landed_samples` parses and labels
+them. Pages that other programs land in a folder as JSON have the same columns.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import time
 import urllib.request
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..plans.durations import parse_config_duration
+from ..shipping import ship
 from .exposition import parse_lines
 
-LANDED = "job string, url string, instance string, fetched long, labels map<string,string>, body string"
+LANDED = "job string, url string, instance string, fetched long, labels map<string,string>, prefix string, body string"
 
 
 class ConfigError(ValueError):
@@ -75,29 +79,105 @@ def load_config(text: str) -> list[Job]:
     return jobs
 
 
-def fetch(job: Job, folder: str, now: int) -> int:
-    """Fetch a job's targets once and land what they answer; the number that did."""
-    done = 0
-    for k, target in enumerate(job.targets):
-        url = f"{job.scheme}://{target.url}{job.path}"
-        try:
-            with urllib.request.urlopen(url, timeout=job.timeout) as answer:  # noqa: S310
-                body = answer.read().decode(errors="replace")
-        except OSError:
-            continue
-        row = {"job": job.name, "url": url, "instance": target.url, "fetched": now, "labels": {**job.labels, **target.labels}, "body": body}
-        part = Path(folder, f".{job.name}-{k}-{now}.json")
-        part.write_text(json.dumps(row) + "\n")
-        part.rename(part.with_name(part.name[1:]))
-        done += 1
-    return done
+def page(job: Job, target: Target, now: int) -> tuple | None:
+    """A target's page as a row of LANDED; None if it does not answer in time."""
+    url = f"{job.scheme}://{target.url}{job.path}"
+    try:
+        with urllib.request.urlopen(url, timeout=job.timeout) as answer:  # noqa: S310
+            body = answer.read().decode(errors="replace")
+    except OSError:
+        return None
+    return (job.name, url, target.url, now, {**job.labels, **target.labels}, job.prefix, body)
+
+
+class _Tick(InputPartition):
+    def __init__(self, job: Job, target: Target, now: int):
+        self.job, self.target, self.now = job, target, now
+
+
+class _Fetcher:
+    """Reads partitions that are targets."""
+
+    def __init__(self, jobs: list[Job]):
+        self.jobs = jobs
+
+    def read(self, partition: _Tick):
+        row = page(partition.job, partition.target, partition.now)
+        if row is not None:
+            yield row
+
+
+class _Once(_Fetcher, DataSourceReader):
+    def partitions(self):
+        now = int(time.time())
+        return [_Tick(j, t, now) for j in self.jobs for t in j.targets] or [_Tick(Job("", []), Target(""), now)]
+
+
+class _Stream(_Fetcher, DataSourceStreamReader):
+    """Offsets are ticks of the jobs' common interval; a job is due when a multiple of its own has passed."""
+
+    @property
+    def tick(self) -> int:
+        return max(1, math.gcd(*(j.interval for j in self.jobs)))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"tick": int(time.time()) // self.tick - 1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"tick": int(time.time()) // self.tick}
+
+    def partitions(self, start: dict, end: dict):
+        due = lambda j: end["tick"] * self.tick // max(1, j.interval) > start["tick"] * self.tick // max(1, j.interval)
+        return [_Tick(j, t, end["tick"] * self.tick) for j in self.jobs if due(j) for t in j.targets]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class ScrapeSource(DataSource):
+    """Option config: the text of a scrape configuration."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tsengine_scrape"
+
+    def schema(self) -> str:
+        return LANDED
+
+    def reader(self, schema):
+        return _Once(load_config(self.options["config"]))
+
+    def streamReader(self, schema):  # noqa: N802
+        return _Stream(load_config(self.options["config"]))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and its code to the workers."""
+    ship(spark)
+    spark.dataSource.register(ScrapeSource)
+
+
+def scrape(spark: SparkSession, config: str) -> DataFrame:
+    """Pages of all targets of a configuration, fetched once for each action."""
+    register(spark)
+    return spark.read.format("tsengine_scrape").option("config", config).load()
+
+
+def scrape_stream(spark: SparkSession, config: str) -> DataFrame:
+    """Pages of all targets, each job's at its interval."""
+    register(spark)
+    return spark.readStream.format("tsengine_scrape").option("config", config).load()
 
 
 def landed_samples(landed: DataFrame, prefix: str = "") -> DataFrame:
-    """Samples of landed pages (batch or stream): the metric's labels win over the target's, then job and instance."""
-    lines = landed.select("job", "instance", "fetched", F.col("labels").alias("fixed"), F.explode(F.split("body", "\n")).alias("value"))
+    """Samples of landed pages (batch or stream): the metric's labels win over the target's, then job and instance.
+
+    Names get a page's prefix, or the one given.
+    """
+    own = F.coalesce(F.nullif("prefix", F.lit("")), F.lit(prefix)) if "prefix" in landed.columns else F.lit(prefix)
+    lines = landed.select("job", "instance", "fetched", F.col("labels").alias("fixed"), own.alias("lead"), F.explode(F.split("body", "\n")).alias("value"))
     rows = parse_lines(lines, "value", F.col("fetched"))
-    name = F.concat(F.lit(f"{prefix}."), F.col("name")) if prefix else F.col("name")
+    name = F.concat_ws(".", F.nullif("lead", F.lit("")), "name")
     return rows.select(name.alias("name"), _merged(F.col("labels"), F.col("fixed"), F.col("job"), F.col("instance")).alias("labels"), "ts", "value")
 
 

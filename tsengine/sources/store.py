@@ -1,22 +1,35 @@
-"""A Parquet store of samples: partitioned by time, sorted by series and time, first write wins.
+"""A Parquet store of samples with a table of series beside them; the first write of a series and time wins.
 
-Writes append; every write has a number, and readers take of each series and time the sample of the lowest. So a write
-needs no look at what is stored. `compact` rewrites the store into one sorted copy; `expire` deletes buckets by age.
+    PATH/series/seq=N/              series (a 64-bit id), name, labels, labels_key
+    PATH/samples/seq=N/bucket=B/    name, series, ts, value, sorted by name, series and time
+
+Samples carry ids, never label maps; times are delta-encoded. Every write has a number, and readers take of each series
+and time the sample of the lowest, so a write needs no look at stored samples, and one repeated under its number replaces
+itself. Only buckets that several writes share are deduplicated by readers; a compacted store never is. Labels are
+filtered on the table of series, before samples are read. `expire` deletes buckets by age.
 
 A store's bucket should hold a few files' worth of samples: a day where a day fills gigabytes, a month by default.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import MapSource, between, label_column, labels_key
+from ..model import MapSource, between, label_column, labels_key, series_id
+from ..plans.syntax import Matcher
+from ..scratch import delete, folders
 
 BUCKET = 30 * 86_400
-COLUMNS = "name string, labels map<string,string>, labels_key string, ts long, value double, seq long, bucket long"
+SERIES = "series long, name string, labels map<string,string>, labels_key string, seq long"
+COLUMNS = "name string, series long, ts long, value double, seq long, bucket long"
+#: Series that a selector with labels may name for their ids to become a filter on the Parquet scan.
+PUSHED_IDS = 256
+#: Delta encoding of times needs the second version of Parquet's pages, and no dictionary for them.
+ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#ts": "false"}
 
 
 def bucket(ts, size: int):
@@ -50,85 +63,166 @@ def merge_hot_cold(cold: DataFrame, hot: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """A store at a path. Its samples are read through `source`, which prunes buckets."""
+    """A store at a path. Its samples are read through `source`, which prunes buckets.
+
+    skip_corrupt leaves files out that can't be read, instead of failing the query.
+    """
 
     spark: SparkSession
     path: str
     bucket_size: int = BUCKET
     #: Files of a bucket that one write makes at most.
     spread: int = 4
+    skip_corrupt: bool = False
+    _buckets: dict[int, list[int]] = field(default_factory=dict, repr=False)
 
     def _floor(self, ts: int | None) -> int | None:
         return None if ts is None else ts // self.bucket_size * self.bucket_size
 
-    def _bucket(self):
-        return bucket(F.col("ts"), self.bucket_size)
+    def _read(self, table: str, schema: str) -> DataFrame:
+        if not folders(self.spark, f"{self.path}/{table}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("ignoreCorruptFiles", str(self.skip_corrupt).lower()).parquet(f"{self.path}/{table}")
 
-    def _read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COLUMNS).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], COLUMNS)
-            raise
+    # --- writing
 
     def write(self, samples: DataFrame, seq: int) -> None:
-        """Append samples (name, labels, ts, value; maybe arrival) under a number that grows with each write."""
-        if "arrival" not in samples.columns:
-            samples = samples.withColumn("arrival", F.lit(0).cast("long"))
-        keyed = samples.withColumn("labels_key", labels_key(F.col("name"), F.col("labels")))
-        rows = deduplicate(keyed, "arrival").withColumns({"seq": F.lit(seq).cast("long"), "bucket": self._bucket()})
-        rows.repartition("bucket", F.pmod(F.xxhash64("labels_key"), F.lit(self.spread))).sortWithinPartitions("bucket", "name", "labels_key", "ts").write.mode("append").partitionBy("bucket").parquet(self.path)
+        """Append samples (name, labels, ts, value; maybe arrival) under a number that grows with each write.
+
+        The series it brings are written first. The samples are shuffled once, by bucket and part of the series.
+        """
+        arrival = F.col("arrival") if "arrival" in samples.columns else F.lit(0)
+        keyed = samples.withColumn("series", series_id(F.col("name"), F.col("labels")))
+        self._write_series(keyed, seq)
+        rows = keyed.select("name", "series", "ts", "value", arrival.cast("long").alias("arrival"), bucket(F.col("ts"), self.bucket_size).alias("bucket"), F.pmod("series", F.lit(self.spread)).alias("part"))
+        self._write_samples(rows, F.struct("arrival", "value"), self.path, seq)
+
+    def _write_series(self, keyed: DataFrame, seq: int) -> None:
+        """Append the series not yet known; two series of one id are an error, though hardly ever to be seen."""
+        key = labels_key(F.col("name"), F.col("labels"))
+        new = keyed.select("series", "name", "labels").dropDuplicates(["series"]).withColumn("labels_key", key)
+        known = self._read("series", SERIES).where(F.col("seq") != seq).select("series", F.col("labels_key").alias("known")).dropDuplicates(["series"])
+        clash = F.raise_error(F.concat(F.lit("one id for two series: "), "known", F.lit(" and "), "labels_key")).cast("boolean")
+        fresh = new.join(known, "series", "left").where(F.when(F.col("known").isNull(), True).when(F.col("known") == F.col("labels_key"), False).otherwise(clash))
+        fresh.select("series", "name", "labels", "labels_key").coalesce(self.spread).write.mode("overwrite").parquet(f"{self.path}/series/seq={seq}")
+
+    def _write_samples(self, rows: DataFrame, order, path: str, seq: int) -> None:
+        keys = ["bucket", "part", "name", "series", "ts"]
+        dealt = rows.repartition("bucket", "part").sortWithinPartitions(*keys)
+        # the aggregation streams over that order and needs no other exchange
+        once = dealt.groupBy(*keys).agg(F.min(F.struct(order.alias("order"), F.col("value").alias("v"))).alias("first"))
+        target = once.select("bucket", "name", "series", "ts", F.col("first.v").alias("value"))
+        target.write.options(**ENCODING).mode("overwrite").partitionBy("bucket").parquet(f"{path}/samples/seq={seq}")
+        self._buckets.pop(seq, None)
+
+    def compact(self, to: str) -> Store:
+        """A copy at another path in which every series and time is stored once."""
+        rows = self._first_writes(None, None, None).withColumn("part", F.pmod("series", F.lit(self.spread)))
+        self.series().select("series", "name", "labels", "labels_key").coalesce(self.spread).write.mode("overwrite").parquet(f"{to}/series/seq=0")
+        self._write_samples(rows, F.lit(0), to, 0)
+        return Store(self.spark, to, self.bucket_size, self.spread, self.skip_corrupt)
+
+    def expire(self, now: int, keep_seconds: int) -> list[int]:
+        """Delete the buckets whose samples are all older than keep_seconds; the buckets deleted. Series stay known."""
+        gone = set()
+        for seq, buckets in list(self._listed().items()):
+            for b in buckets:
+                if b + self.bucket_size <= now - keep_seconds:
+                    delete(self.spark, f"{self.path}/samples/seq={seq}/bucket={b}")
+                    gone.add(b)
+            self._buckets.pop(seq, None)
+        return sorted(gone)
+
+    # --- reading
+
+    def _listed(self) -> dict[int, list[int]]:
+        """The buckets of every write, from the folders' names; what is known of a write is kept."""
+        for name in folders(self.spark, f"{self.path}/samples"):
+            seq = int(name.removeprefix("seq=")) if name.startswith("seq=") else None
+            if seq is not None and seq not in self._buckets:
+                self._buckets[seq] = [int(b.removeprefix("bucket=")) for b in folders(self.spark, f"{self.path}/samples/{name}") if b.startswith("bucket=")]
+        return self._buckets
+
+    def _shared(self, low: int | None, high: int | None) -> list[int]:
+        """The buckets of a time range that several writes have."""
+        times: dict[int, int] = {}
+        for buckets in self._listed().values():
+            for b in buckets:
+                if (low is None or b >= self._floor(low)) and (high is None or b <= high):
+                    times[b] = times.get(b, 0) + 1
+        return sorted(b for b, n in times.items() if n > 1)
+
+    def _first_writes(self, name: str | None, low: int | None, high: int | None, ids: Iterable[int] | None = None) -> DataFrame:
+        """name, series, ts, value and bucket of stored samples, each series and time once."""
+        df = self._read("samples", COLUMNS).where(between(F.col("ts"), low, high)).where(between(F.col("bucket"), self._floor(low), self._floor(high)))
+        df = df if name is None else df.where(F.col("name") == name)
+        df = df if ids is None else df.where(F.col("series").isin(list(ids)))
+        columns = ["name", "series", "ts", "value", "bucket"]
+        shared = self._shared(low, high)
+        if not shared:
+            return df.select(*columns)
+        several = df.where(F.col("bucket").isin(shared)).groupBy("name", "series", "ts", "bucket").agg(F.min_by("value", F.struct("seq", "value")).alias("value"))
+        return df.where(~F.col("bucket").isin(shared)).select(*columns).unionByName(several.select(*columns))
 
     def samples(self, low: int | None = None, high: int | None = None) -> DataFrame:
-        """Stored samples of a time range, first writes only."""
-        df = self._read().where(between(F.col("ts"), low, high))
-        df = df.where(between(F.col("bucket"), self._floor(low), self._floor(high)))
-        return deduplicate(df).withColumn("bucket", self._bucket())
+        """Stored samples of a time range, first writes only: name, labels, labels_key, ts, value, bucket."""
+        known = self.series().select("series", "labels", "labels_key")
+        return self._first_writes(None, low, high).join(known, "series").select("name", "labels", "labels_key", "ts", "value", "bucket")
 
     def source(self) -> StoredSource:
         return StoredSource(self)
 
-    def compact(self, to: str) -> Store:
-        """A copy at another path in which every series and time is stored once."""
-        rows = deduplicate(self._read()).withColumns({"seq": F.lit(0).cast("long"), "bucket": self._bucket()})
-        rows.repartition("bucket", F.pmod(F.xxhash64("labels_key"), F.lit(self.spread))).sortWithinPartitions("bucket", "name", "labels_key", "ts").write.partitionBy("bucket").parquet(to)
-        return Store(self.spark, to, self.bucket_size, self.spread)
+    # --- series
 
-    def expire(self, now: int, keep_seconds: int) -> list[int]:
-        """Delete the buckets whose samples are all older than keep_seconds; the buckets deleted."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        gone = []
-        for row in self._read().select("bucket").distinct().where(F.col("bucket") + self.bucket_size <= now - keep_seconds).collect():
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={row['bucket']}")
-            target.getFileSystem(conf).delete(target, True)
-            gone.append(row["bucket"])
-        return sorted(gone)
+    def series(self) -> DataFrame:
+        """series (id), name, labels and labels_key of every series."""
+        return self._read("series", SERIES).dropDuplicates(["series"]).select("series", "name", "labels", "labels_key")
 
     def metric_names(self) -> DataFrame:
-        return self._read().select("name").distinct()
+        return self._read("series", SERIES).select("name").distinct()
 
     def postings(self) -> DataFrame:
-        """label, value and the keys of the series that have them."""
-        series = self._read().select("labels_key", "labels").dropDuplicates(["labels_key"])
-        return series.select("labels_key", F.explode("labels").alias("label", "value")).groupBy("label", "value").agg(F.sort_array(F.collect_list("labels_key")).alias("series"))
+        """label, value, series and labels_key: one row for each label of each series."""
+        return self.series().select(F.explode("labels").alias("label", "value"), "series", "labels_key")
 
     def find_series(self, labels: dict[str, str]) -> DataFrame:
-        """Keys and labels of the series that have all of the labels."""
-        series = self._read().select("name", "labels_key", "labels").dropDuplicates(["labels_key"])
+        """The series that have all of the labels."""
+        out = self.series()
         for k, v in labels.items():
-            series = series.where(F.col("name") == v if k == "__name__" else F.element_at("labels", k) == v)
-        return series
+            out = out.where(F.col("name") == v if k == "__name__" else F.element_at("labels", k) == v)
+        return out
+
+    def labels_for(self, ids: Iterable[int]) -> DataFrame:
+        """Names and labels of series by their ids."""
+        return self.series().where(F.col("series").isin(list(ids)))
 
 
 class StoredSource(MapSource):
-    """A store's samples for queries: name, time and bucket are filtered before first writes are picked."""
+    """A store's samples for queries. Names and labels come from the table of series and are kept."""
 
     def __init__(self, store: Store):
-        super().__init__(store._read(), store.bucket_size)
+        super().__init__(store.series(), store.bucket_size)
         self._store = store
 
-    def scan(self, name: str, low: int | None, high: int | None, labels: list[str]) -> DataFrame:
-        floor = self._store._floor
-        df = self.df.where(F.col("name") == name).where(between(F.col("ts"), low, high)).where(between(F.col("bucket"), floor(low), floor(high)))
-        return deduplicate(df).select(*[F.element_at("labels", x).alias(label_column(x)) for x in labels], "ts", "value")
+    def _chosen(self, name: str, labels: list[str], matchers: tuple[Matcher, ...]) -> DataFrame:
+        from ..operators.selectors import matches
+
+        out = self.df.where(F.col("name") == name).select("series", *[F.element_at("labels", x).alias(label_column(x)) for x in labels])
+        for m in matchers:
+            out = out.where(matches(m, m.label in labels))
+        return out
+
+    def scan(self, name: str, low: int | None, high: int | None, labels: list[str], matchers: tuple[Matcher, ...] = ()) -> DataFrame:
+        chosen, ids = self._chosen(name, labels, matchers), None
+        if matchers:
+            few = chosen.select("series").limit(PUSHED_IDS + 1).collect()
+            ids = [r["series"] for r in few] if len(few) <= PUSHED_IDS else None
+        rows = self._store._first_writes(name, low, high, ids)
+        return rows.join(chosen, "series").select(*[label_column(x) for x in labels], "ts", "value")
+
+    def series(self, name: str, low: int | None, high: int | None, labels: list[str], matchers: tuple[Matcher, ...] = ()) -> DataFrame:
+        """Label columns of the series, with a sample in the range if one is given; samples give their ids alone."""
+        chosen = self._chosen(name, labels, matchers)
+        if low is not None or high is not None:
+            chosen = chosen.join(self._store._first_writes(name, low, high).select("series").distinct(), "series", "left_semi")
+        return chosen.drop("series")

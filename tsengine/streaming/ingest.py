@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..model import labels_key
 from ..sources.exposition import parse_lines
 from ..sources.json_writes import REQUEST, samples
-from ..sources.scrape import LANDED, landed_samples
+from ..sources.scrape import LANDED, landed_samples, scrape_stream
 from ..sources.store import Store
 
 
@@ -28,6 +28,11 @@ def stream_landed(spark: SparkSession, folder: str, prefix: str = "") -> DataFra
     return landed_samples(spark.readStream.schema(LANDED).json(folder), prefix)
 
 
+def stream_scraped(spark: SparkSession, config: str) -> DataFrame:
+    """A stream of samples from the targets of a scrape configuration, each job's at its interval."""
+    return landed_samples(scrape_stream(spark, config))
+
+
 def into_store(stream: DataFrame, store: Store, checkpoint: str, every: str = "5 seconds", once: bool = False) -> StreamingQuery:
     """Append a stream to a store, one write per micro-batch; a batch written twice has the same number and counts once."""
     writer = stream.writeStream.foreachBatch(lambda df, k: store.write(df, k)).option("checkpointLocation", checkpoint)
