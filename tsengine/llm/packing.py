@@ -108,9 +108,8 @@ def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _measurer(name: str):
     def run(batches):
-        for batch in batches:
-            for piece in tx.slices(batch, "text", 4 << 20):
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokens.count(piece.column("text"), name) + 1)], ["doc_id", "n"])
+        for piece in tx.gathered(batches, "text", tokens.TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokens.count(piece.column("text"), name) + 1)], ["doc_id", "n"])
 
     return run
 

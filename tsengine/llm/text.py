@@ -41,6 +41,22 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
         begin = end
 
 
+def gathered(batches, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of about max_bytes of text, of one batch or several; a longer text is a piece of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in slices(batch, column, max_bytes):
+            n = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+            if held and size + n > max_bytes:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(piece)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its rows' offsets into them; null is empty."""
     column = pc.fill_null(column, "") if column.null_count else column

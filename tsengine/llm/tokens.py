@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 250_000
+#: Words kept, and bytes of text taken at a time: the distinct words of more text are fewer for each byte.
+CACHE_WORDS, TEXT_BYTES = 500_000, 8 << 20
 #: Letters, then punctuation that no special token or contraction holds.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-;=?@\[-^`{}~]*)")
 _open: dict[str, _Encoder] = {}
