@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tsengine")) / "tsengine.zip"
+    # executors fetch the archive from the driver as long as the application runs
+    folder = tempfile.mkdtemp(prefix="tsengine")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "tsengine.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(top.rglob("*.py")):
             out.write(path, path.relative_to(top.parent))

@@ -34,8 +34,19 @@ def stream_scraped(spark: SparkSession, config: str) -> DataFrame:
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str, every: str = "5 seconds", once: bool = False) -> StreamingQuery:
-    """Append a stream to a store, one write per micro-batch; a batch written twice has the same number and counts once."""
-    writer = stream.writeStream.foreachBatch(lambda df, k: store.write(df, k)).option("checkpointLocation", checkpoint)
+    """Append a stream to a store, one write per micro-batch; a batch written twice has the same number and counts once.
+
+    A micro-batch is kept while it is written, so that its source (a scraped target, say) is read once.
+    """
+
+    def write(df: DataFrame, k: int) -> None:
+        df.persist()
+        try:
+            store.write(df, k)
+        finally:
+            df.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
