@@ -123,18 +123,17 @@ def test_store_is_compact(spark, tmp_path):
     """A thousand samples a minute apart, ten different values, take less than 8 bytes each."""
     rows = samples(spark, [("cpu", {"host": "a"}, 1_700_000_000 + 60 * k, 50.0 + k % 10) for k in range(20_000)])
     Store(spark, str(tmp_path / "store"), spread=1).write(rows, 1)
-    assert len(list((tmp_path / "store" / "samples").rglob("*.parquet"))) == 2  # of two buckets
+    assert len(list((tmp_path / "store" / "samples").rglob("*.parquet"))) == 1
     size = sum(p.stat().st_size for p in (tmp_path / "store" / "samples").rglob("*.parquet"))
     assert size / 20_000 < 8
 
 
-def test_large_buckets_have_several_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("tsengine.sources.store.PART_ROWS", 50)
-    store = Store(spark, str(tmp_path / "store"), bucket_size=1000)
-    store.write(samples(spark, [("m", {"k": str(k % 40)}, k, 1.0) for k in range(1000)] + [("m", {}, 5000, 1.0)]), 1)
-    assert len(list((tmp_path / "store/samples/seq=1/bucket=0").glob("*.parquet"))) > 1
-    assert len(list((tmp_path / "store/samples/seq=1/bucket=5000").glob("*.parquet"))) == 1
-    assert store.samples().count() == 1001
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tsengine.sources.store.FILE_ROWS", 100)
+    store = Store(spark, str(tmp_path / "store"), bucket_size=1000, spread=2)
+    store.write(samples(spark, [("m", {"k": str(k % 40)}, k, 1.0) for k in range(1000)]), 1)
+    assert len(list((tmp_path / "store/samples/seq=1/bucket=0").glob("*.parquet"))) >= 10
+    assert store.samples().count() == 1000
 
 
 def test_corrupt_files(spark, tmp_path):

@@ -8,7 +8,7 @@ and time the sample of the lowest, so a write needs no look at stored samples, a
 itself. Only buckets that several writes share are deduplicated by readers; a compacted store never is. Labels are
 filtered on the table of series, before samples are read. `expire` deletes buckets by age.
 
-A store's bucket should hold a few files' worth of samples: a day where a day fills gigabytes, a month by default.
+A store's bucket should hold a few files' worth of samples: a day where a day fills gigabytes, 90 days by default.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ from ..model import MapSource, between, label_column, labels_key, series_id
 from ..plans.syntax import Matcher
 from ..scratch import delete, folders
 
-BUCKET = 30 * 86_400
+BUCKET = 90 * 86_400
 SERIES = "series long, name string, labels map<string,string>, labels_key string, seq long"
 COLUMNS = "name string, series long, ts long, value double, seq long, bucket long"
-#: Samples of a file at most, about.
-PART_ROWS = 4_000_000
+#: Samples of a file at most.
+FILE_ROWS = 4_000_000
 #: Series that a selector with labels may name for their ids to become a filter on the Parquet scan.
 PUSHED_IDS = 256
 #: Delta encoding of times needs the second version of Parquet's pages, and no dictionary for them.
-ENCODING = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#ts": "false"}
+ENCODING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.writer.version": "v2", "parquet.enable.dictionary#ts": "false"}
 
 
 def bucket(ts, size: int):
@@ -73,8 +73,8 @@ class Store:
     spark: SparkSession
     path: str
     bucket_size: int = BUCKET
-    #: Files that one write makes of a bucket at least; more if they would hold more than PART_ROWS samples.
-    spread: int = 1
+    #: Parts of a bucket that one write makes, each by a task of its own; a part is a file, or several of FILE_ROWS.
+    spread: int = 4
     skip_corrupt: bool = False
     _buckets: dict[int, list[int]] = field(default_factory=dict, repr=False)
 
@@ -91,20 +91,14 @@ class Store:
     def write(self, samples: DataFrame, seq: int) -> None:
         """Append samples (name, labels, ts, value; maybe arrival) under a number that grows with each write.
 
-        The series it brings are written first. The samples are shuffled once, by bucket and part of the series. What
-        the write holds of each series and bucket is counted in one pass, for the table of series and for the parts.
+        The series it brings are written first. The samples are shuffled once, by bucket and part of the series.
         """
         arrival = F.col("arrival") if "arrival" in samples.columns else F.lit(0)
-        keyed = samples.withColumns({"pairs": F.array_sort(F.map_entries("labels")), "bucket": bucket(F.col("ts"), self.bucket_size)})
-        keyed = keyed.withColumn("series", series_id(F.col("name"), F.col("pairs")))
-        held = keyed.groupBy("series", "bucket", "name", "pairs").agg(F.count(F.lit(1)).alias("n")).persist()
-        try:
-            self._write_series(held.withColumn("labels", F.map_from_entries("pairs")), seq)
-            sizes = {r["bucket"]: r["n"] for r in held.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-        finally:
-            held.unpersist()
-        rows = keyed.select("name", "series", "ts", "value", arrival.cast("long").alias("arrival"), "bucket")
-        self._write_samples(rows, F.struct("arrival", "value"), self.path, seq, sizes)
+        keyed = samples.withColumn("pairs", F.array_sort(F.map_entries("labels"))).withColumn("series", series_id(F.col("name"), F.col("pairs")))
+        known = keyed.groupBy("series", "name", "pairs").agg(F.lit(1).alias("one"))
+        self._write_series(known.withColumn("labels", F.map_from_entries("pairs")), seq)
+        rows = keyed.select("name", "series", "ts", "value", arrival.cast("long").alias("arrival"), bucket(F.col("ts"), self.bucket_size).alias("bucket"))
+        self._write_samples(rows, F.struct("arrival", "value"), self.path, seq)
 
     def _write_series(self, keyed: DataFrame, seq: int) -> None:
         """Append the series not yet known; two series of one id are an error, though hardly ever to be seen."""
@@ -115,27 +109,20 @@ class Store:
         fresh = new.join(known, "series", "left").where(F.when(F.col("known").isNull(), True).when(F.col("known") == F.col("labels_key"), False).otherwise(clash))
         fresh.select("series", "name", "labels", "labels_key").coalesce(4).write.mode("overwrite").parquet(f"{self.path}/series/seq={seq}")
 
-    def _write_samples(self, rows: DataFrame, order, path: str, seq: int, sizes: dict[int, int]) -> None:
-        """sizes tells about how many samples each bucket has; there are as many buckets as folders to be written."""
-        parts = {b: max(self.spread, -(-n // PART_ROWS)) for b, n in sizes.items()}
-        part = F.pmod("series", F.lit(self.spread))
-        if max(parts.values(), default=1) > self.spread:
-            rows = rows.join(F.broadcast(self.spark.createDataFrame(list(parts.items()), "bucket long, parts long")), "bucket")
-            part = F.pmod("series", "parts")
+    def _write_samples(self, rows: DataFrame, order, path: str, seq: int) -> None:
         keys = ["bucket", "part", "name", "series", "ts"]
-        dealt = rows.withColumn("part", part).repartition("bucket", "part").sortWithinPartitions(*keys)
+        dealt = rows.withColumn("part", F.pmod("series", F.lit(self.spread))).repartition("bucket", "part").sortWithinPartitions(*keys)
         # the aggregation streams over that order and needs no other exchange
         once = dealt.groupBy(*keys).agg(F.min(F.struct(order.alias("order"), F.col("value").alias("v"))).alias("first"))
         target = once.select("bucket", "name", "series", "ts", F.col("first.v").alias("value"))
-        target.write.options(**ENCODING).mode("overwrite").partitionBy("bucket").parquet(f"{path}/samples/seq={seq}")
+        target.write.options(**ENCODING).option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").partitionBy("bucket").parquet(f"{path}/samples/seq={seq}")
         self._buckets.pop(seq, None)
 
     def compact(self, to: str) -> Store:
         """A copy at another path in which every series and time is stored once."""
         rows = self._first_writes(None, None, None)
-        sizes = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.series().coalesce(4).write.mode("overwrite").parquet(f"{to}/series/seq=0")
-        self._write_samples(rows, F.lit(0), to, 0, sizes)
+        self._write_samples(rows, F.lit(0), to, 0)
         return Store(self.spark, to, self.bucket_size, self.spread, self.skip_corrupt)
 
     def expire(self, now: int, keep_seconds: int) -> list[int]:
