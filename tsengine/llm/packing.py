@@ -108,7 +108,7 @@ def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _measurer(name: str):
     def run(batches):
-        for piece in tx.gathered(batches, "text", tokens.TEXT_BYTES):
+        for piece in tx.gathered(batches, "text", tokens.TEXT_BYTES // 2):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokens.count(piece.column("text"), name) + 1)], ["doc_id", "n"])
 
     return run
