@@ -266,6 +266,24 @@ def test_panes_equal_expansion(spark, monkeypatch, function, window, step):
         assert found[0] == found[1] and found[0]
 
 
+def labelled_rates(spark, function, window, step, rng):
+    """A rate of three series, with a gap and one sample before it, and what it must be."""
+    kept = {"a": sorted(rng.sample(range(-150, 300), 60)), "b": [*sorted(rng.sample(range(-40, 60), 9)), 250], None: [100]}
+    points = {s: [(t, float(rng.randrange(50))) for t in times if 3 - 2 * window <= t <= 270] for s, times in kept.items()}
+    e = engine(spark, m=metric(spark, [(s, t, v) for s, p in points.items() for t, v in p], ["s"]))
+    df = e.range(f"{function}(m[{window}s])", 3, 270, step)
+    expected = {(s, t): round(v, 9) for s, p in points.items() for t, v in brute_windows(p, function, window, 3, 270, step).items()}
+    return df, expected
+
+
+@pytest.mark.parametrize(("window", "step"), [(40, 7), (36, 6), (150, 4), (5, 89)])
+def test_rates_follow_series(spark, window, step):
+    """They are as by brute force, and aggregate no rows of series and points: that took a task's memory."""
+    df, expected = labelled_rates(spark, "rate", window, step, random.Random(window))
+    assert {(r["s"], r["ts"]): round(r["value"], 9) for r in df.collect()} == expected
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_month_over_minutes(spark):
     """[30d] at steps of 60 s: 43,200 points a sample, by panes."""
     day = 86_400

@@ -5,6 +5,9 @@ series and point: one hash aggregation, no join, and partial sums before the shu
 samples are first aggregated into panes of gcd(range, step) seconds and these into dyadic blocks of panes. A window is a
 few blocks (two of each size at most) and the samples at its open end, so the rows to aggregate grow with the logarithm
 of range / step. Every block is expanded to the points whose windows it is a largest block of.
+
+Rates of series with labels need a window's first and last sample alone. They follow each series in order of time and
+aggregate nothing: two rows a sample at most are sorted, whatever the range and step.
 """
 
 from __future__ import annotations
@@ -109,6 +112,8 @@ def windowed(v: Vector, function: str, window: int, start: int, end: int, step:
     v holds the samples from start - window on, for rates from start - 2 window on.
     """
     df, columns = v.df, v.columns
+    if function in ("rate", "irate") and columns:
+        return Vector(_rates(df, columns, function, window, start, end, step, add_end).withColumn("ts", F.col("t")), v.labels)
     if function in ("rate", "irate"):
         df = _before(df, columns, end - start + 2 * window)
     steps = (end - start) // step
@@ -181,6 +186,43 @@ PARTS = {
 }
 
 
+def _rates(df: DataFrame, columns: list[str], function: str, window: int, start: int, end: int, step: int, add_end: bool) -> DataFrame:
+    """columns, t and value of rates of series with labels, by each series' samples in order of time.
+
+    A sample is the last of the windows at points from its time until the next sample's, and the first of those whose
+    start lies after the sample before it. Both stretches are numbers of grid points (end, where it is no other point, is
+    the one after them); sorted by where they begin, the newest of each kind hold until the next begins or one ends.
+    """
+    steps = (end - start) // step
+    top = steps + 1 if add_end and (end - start) % step else steps
+    w = Window.partitionBy(*columns).orderBy("ts")
+    near = df.withColumns({"before_ts": F.lag("ts").over(w), "before": F.lag("value").over(w), "next_ts": F.lead("ts").over(w)})
+    number = lambda x: (x - start) / F.lit(float(step))
+    begin = lambda x: F.when(x <= end, F.greatest(F.ceil(number(x)).cast("long"), F.lit(0)))
+    until = lambda x: F.when(x >= end, F.lit(top)).otherwise(F.floor(number(x))).cast("long")
+    gone = F.col("ts") + window
+    last = (begin(F.col("ts")), until(F.least(F.col("next_ts") - 1, gone)))  # least leaves nulls out
+    ends = F.col("until")
+    if function == "irate":
+        value = _gain(F.col("ts"), F.col("value"), F.col("before_ts"), F.col("before"))
+        out = near.select(*columns, last[0].alias("k"), last[1].alias("until"), value.alias("value"))
+    else:
+        first = (begin(F.greatest("ts", F.col("before_ts") + window + 1)), until(gone))
+        stretch = lambda is_last, at: F.struct(at[0].alias("k"), at[1].alias("until"), F.lit(is_last).alias("is_last"))
+        both = near.select(*columns, "ts", "value", "before_ts", "before", F.explode(F.array(stretch(True, last), stretch(False, first))).alias("x"))
+        both = both.select(*columns, "x.*", "ts", "value", "before_ts", "before").where("until >= k")
+        order = Window.partitionBy(*columns).orderBy("k")
+        newest = lambda is_last: F.last(F.when(F.col("is_last") == F.lit(is_last), F.struct("until", "ts", "value", "before_ts", "before")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        held = both.select(*columns, "k", newest(True).alias("z"), newest(False).alias("a"), F.lead("k").over(order).alias("next"))
+        # a window of one sample reaches back to the one before it
+        alone = F.col("a.ts") == F.col("z.ts")
+        value = _gain(F.col("z.ts"), F.col("z.value"), F.when(alone, F.col("z.before_ts")).otherwise(F.col("a.ts")), F.when(alone, F.col("z.before")).otherwise(F.col("a.value")))
+        ends = F.least("until", F.col("next") - 1)
+        out = held.where("z is not null and a is not null").select(*columns, "k", "next", F.least("z.until", "a.until").alias("until"), value.alias("value"))
+    out = out.withColumn("until", ends).where("until >= k and value is not null").withColumn("k", F.explode(F.sequence("k", "until")))
+    return out.select(*columns, F.when(F.col("k") > steps, F.lit(end)).otherwise(F.lit(start) + F.col("k") * step).cast("long").alias("t"), "value")
+
+
 def _paned(df: DataFrame, columns: list[str], function: str, window: int, start: int, step: int, steps: int) -> DataFrame:
     """columns, t and value at start + k step for k up to steps, by dyadic blocks of panes.
 
