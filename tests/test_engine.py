@@ -236,6 +236,10 @@ def brute_windows(points, function, window, start, end, step):
             if len(inside) > 1:
                 (t0, v0), (t1, v1) = inside[0], inside[-1]
                 out[t] = (v1 if v1 < v0 else v1 - v0) / (t1 - t0)
+        elif function == "irate":
+            *_, (t0, v0), (t1, v1) = [(None, None), *([p for p in points if p[0] <= t] if inside else [(None, None)])]
+            if t0 is not None:
+                out[t] = (v1 if v1 < v0 else v1 - v0) / (t1 - t0)
         elif inside:
             values = [v for _, v in inside]
             out[t] = {"sum_over_time": sum(values), "max_over_time": max(values), "count_over_time": len(values)}[function]
@@ -276,10 +280,11 @@ def labelled_rates(spark, function, window, step, rng):
     return df, expected
 
 
+@pytest.mark.parametrize("function", ["rate", "irate"])
 @pytest.mark.parametrize(("window", "step"), [(40, 7), (36, 6), (150, 4), (5, 89)])
-def test_rates_follow_series(spark, window, step):
+def test_rates_follow_series(spark, function, window, step):
     """They are as by brute force, and aggregate no rows of series and points: that took a task's memory."""
-    df, expected = labelled_rates(spark, "rate", window, step, random.Random(window))
+    df, expected = labelled_rates(spark, function, window, step, random.Random(window))
     assert {(r["s"], r["ts"]): round(r["value"], 9) for r in df.collect()} == expected
     assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
 
