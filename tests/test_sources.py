@@ -287,6 +287,32 @@ def test_queries_time_out(spark):
     assert service.query("m", 5)[0] == 200
 
 
+def test_functions_of_series(spark):
+    """Series by series or many whole ones, also series longer than a batch, without a group of Spark's for each."""
+    points = [(s, t, float(t % 7)) for s, n in (("a", 1), (None, 25), ("b", 3), ("c", 10), ("d", 2)) for t in range(1, n + 1)]
+    rows = samples(spark, [("m", {"k": s} if s else {}, t, v) for s, t, v in points])
+    engine = Engine(spark, MapSource(rows.repartition(3)))
+    schema, stage = "k string, ts long, value double", {"query": "m", "start": 1, "end": 50}
+
+    def one(pdf):
+        assert pdf["ts"].tolist() == list(range(1, len(pdf) + 1)) and pdf["k"].nunique(dropna=False) == 1
+        return pdf.tail(1).assign(value=float(len(pdf)))[["k", "ts", "value"]] if len(pdf) != 3 else pdf.head(0)
+
+    def several(pdf):
+        found = pdf.groupby("k", sort=False, dropna=False).agg(ts=("ts", "max"), value=("ts", "count")).reset_index()
+        return found[found["value"] != 3].astype({"value": "float64"})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for name, function, many in (("one", one, False), ("several", several, True)):
+            engine.register(name, per_series(function, schema, many))
+            df = engine.pipeline([stage, {"function": name}])
+            assert {tuple(r) for r in df.collect()} == {("a", 1, 1.0), (None, 25, 25.0), ("c", 10, 10.0), ("d", 2, 2.0)}
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_arrival_order(spark):
     rows = [("m", {}, "m{}", t, float(k), k) for k, t in enumerate([1000, 1000, 500, 1001, 3500, 3601, 3000])]
     df = spark.createDataFrame(rows, "name string, labels map<string,string>, labels_key string, ts long, value double, seq long")

@@ -355,9 +355,11 @@ def fn_per_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir)
 
     def spread(pdf):
-        return pdf.tail(1).assign(value=pdf["value"].max() - pdf["value"].min())[["event_type", "user_id", "ts", "value"]]
+        keys = ["event_type", "user_id"]
+        found = pdf.groupby(keys, sort=False, dropna=False).agg(ts=("ts", "max"), high=("value", "max"), low=("value", "min")).reset_index()
+        return found.assign(value=found["high"] - found["low"])[[*keys, "ts", "value"]]
 
-    e.register("spread", per_series(spread, "event_type string, user_id string, ts long, value double"))
+    e.register("spread", per_series(spread, "event_type string, user_id string, ts long, value double", many=True))
     return rounded(e.pipeline([_STAGE, {"function": "spread", "type": "python"}]))
 
 
