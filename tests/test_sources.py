@@ -287,6 +287,17 @@ def test_queries_time_out(spark):
     assert service.query("m", 5)[0] == 200
 
 
+def test_scans_do_not_aggregate(spark, tmp_path):
+    """First writes are found after the exchange: a scan's task may read any number of samples and sorts none."""
+    store = Store(spark, str(tmp_path / "store"), 1000)
+    rows = [("m", {"k": str(t % 3)}, t, float(t)) for t in range(90)]
+    store.write(samples(spark, rows), 1)
+    store.write(samples(spark, rows[::4]).withColumn("value", F.lit(-1.0)), 2)
+    df = store._first_writes("m", None, None)
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert sorted((r["ts"], r["value"]) for r in df.collect()) == [(t, float(t)) for t in range(90)]
+
+
 def test_functions_of_series(spark):
     """Series by series or many whole ones, also series longer than a batch, without a group of Spark's for each."""
     points = [(s, t, float(t % 7)) for s, n in (("a", 1), (None, 25), ("b", 3), ("c", 10), ("d", 2)) for t in range(1, n + 1)]

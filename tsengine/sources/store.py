@@ -107,7 +107,7 @@ class Store:
         known = self._read("series", SERIES).where(F.col("seq") != seq).select("series", F.col("labels_key").alias("known")).dropDuplicates(["series"])
         clash = F.raise_error(F.concat(F.lit("one id for two series: "), "known", F.lit(" and "), "labels_key")).cast("boolean")
         fresh = new.join(known, "series", "left").where(F.when(F.col("known").isNull(), True).when(F.col("known") == F.col("labels_key"), False).otherwise(clash))
-        fresh.select("series", "name", "labels", "labels_key").coalesce(4).write.mode("overwrite").parquet(f"{self.path}/series/seq={seq}")
+        fresh.select("series", "name", "labels", "labels_key").write.mode("overwrite").parquet(f"{self.path}/series/seq={seq}")
 
     def _write_samples(self, rows: DataFrame, order, path: str, seq: int) -> None:
         keys = ["bucket", "part", "name", "series", "ts"]
@@ -121,7 +121,7 @@ class Store:
     def compact(self, to: str) -> Store:
         """A copy at another path in which every series and time is stored once."""
         rows = self._first_writes(None, None, None)
-        self.series().coalesce(4).write.mode("overwrite").parquet(f"{to}/series/seq=0")
+        self.series().write.mode("overwrite").parquet(f"{to}/series/seq=0")
         self._write_samples(rows, F.lit(0), to, 0)
         return Store(self.spark, to, self.bucket_size, self.spread, self.skip_corrupt)
 
@@ -164,7 +164,10 @@ class Store:
         shared = self._shared(low, high)
         if not shared:
             return df.select(*columns)
-        several = df.where(F.col("bucket").isin(shared)).groupBy("name", "series", "ts", "bucket").agg(F.min_by("value", F.struct("seq", "value")).alias("value"))
+        # the aggregation sorts: after the exchange, in parts of a size that Spark chooses. A scan's task reads as many bytes
+        # as any other table's, but of samples that take a few bytes, and its files' row groups are never divided
+        dealt = df.where(F.col("bucket").isin(shared)).repartition("series", "ts")
+        several = dealt.groupBy("name", "series", "ts", "bucket").agg(F.min_by("value", F.struct("seq", "value")).alias("value"))
         return df.where(~F.col("bucket").isin(shared)).select(*columns).unionByName(several.select(*columns))
 
     def samples(self, low: int | None = None, high: int | None = None) -> DataFrame:
