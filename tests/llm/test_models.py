@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.llm import decontaminate, huffman, license_scan, packing, quality, token_output, tokens, toxicity
+from tsengine.llm import decontaminate, huffman, license_scan, packing, quality, staging, token_output, tokens, toxicity
 from tsengine.llm.sampling import fit_sample, held_out, temperature
 from tsengine.llm.staging import new_path
 
@@ -33,6 +34,38 @@ def test_tokens_match_whole_texts():
     assert tokens.count(pa.array(texts), NAME).tolist() == [len(x) for x in expected]
 
 
+def test_tasks_that_do_not_encode_forget_the_tokenizer():
+    tokens.count(pa.array(["some words"]), NAME)
+    assert list(staging._tidy(lambda batches: batches, True)([1])) == [1] and NAME in tokens._open
+    assert list(staging._tidy(lambda batches: batches, False)([1])) == [1] and not tokens._open
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('long text ', 10000)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    found = staging.arrow_map(docs, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 200 and max(r["bytes"] for r in found) < 5 << 20
+
+
+@pytest.mark.parametrize("stage", ["contexts", "scores"])
+def test_quality_holds_little_memory(stage):
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 50_000, 400)) for _ in range(2000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), texts], ["doc_id", "text"])
+    contexts = np.ones((quality.BUCKETS, quality.DIM), np.float32)
+    model = quality.fit(np.zeros((0, quality.FEATURES)), np.zeros(0), contexts)
+    run = quality._contexts if stage == "contexts" else quality._scorer(type("Broadcast", (), {"value": model}))
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1900 and peak < 64 << 20
+
+
 @pytest.mark.parametrize(("symbols", "n"), [(1, 10), (2, 100), (300, 5000), (40_000, 200_000), (200_000, 400_000)])
 def test_huffman_round_trip(symbols, n):
     ids = (np.random.default_rng(symbols).zipf(1.3, n) % symbols).astype(np.uint32) if symbols < 65_536 else np.random.default_rng(1).integers(0, symbols, n).astype(np.uint32)

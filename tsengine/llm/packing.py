@@ -146,7 +146,7 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", capacities:
     window, however docs is divided; a larger window packs more tightly and takes more time and memory in a task.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = stage(arrow_map(texts, _measurer(name), "doc_id long, n long"), "measured")
+    measured = stage(arrow_map(texts, _measurer(name), "doc_id long, n long", encodes=True), "measured")
     groups = max(1, -(-measured.count() // window))
     # rows without an id are dealt by their length
     dealt = measured.repartition(groups, F.xxhash64("doc_id", "n")).sortWithinPartitions("n", "doc_id")

@@ -27,6 +27,9 @@ SIGN = _rng.choice(np.array([-1, 1], np.int8), (BUCKETS, NONZERO))
 INDEX = np.zeros((BUCKETS, DIM), np.float32)
 np.add.at(INDEX, (np.arange(BUCKETS)[:, None], PLACE), SIGN)
 PUNCT = ~tx.ALNUM & ~tx.SPACE
+#: Bytes of text taken at a time: pooling holds several vectors for each distinct token, and every sum of contexts costs
+#: a whole table.
+POOL_BYTES, CONTEXT_BYTES = 1 << 17, 1 << 19
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +46,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches):
     total = np.zeros(BUCKETS * DIM)
     for batch in batches:
-        for piece in tx.slices(batch, "text"):
+        for piece in tx.slices(batch, "text", CONTEXT_BYTES):
             slots, offsets = tokens(piece.column("text"))
             rows = tx.row_of(offsets)
             for gap in range(1, REACH + 1):
@@ -52,8 +55,7 @@ def _contexts(batches):
                 pair = np.flatnonzero(rows[gap:] == rows[:-gap])
                 a, b = slots[pair], slots[pair + gap]
                 for x, y in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        total += np.bincount(x * DIM + PLACE[y, k], SIGN[y, k], BUCKETS * DIM)
+                    total += np.bincount((x[:, None] * DIM + PLACE[y]).ravel(), SIGN[y].ravel(), BUCKETS * DIM)
     table = total.astype(np.int64).reshape(BUCKETS, DIM)
     used = np.flatnonzero(table.any(axis=1))
     values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * DIM), pa.array(table[used].ravel()))
@@ -142,7 +144,7 @@ def fit(x: np.ndarray, y: np.ndarray, contexts: np.ndarray, hidden: int = 32, ep
 def _featurizer(contexts):
     def run(batches):
         for batch in batches:
-            for piece in tx.slices(batch, "text", 1 << 20):
+            for piece in tx.slices(batch, "text", POOL_BYTES):
                 x = pooled(piece.column("text"), contexts.value)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y").cast(pa.int32()), values], ["doc_id", "y", "x"])
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def _scorer(model):
     def run(batches):
         for batch in batches:
-            for piece in tx.slices(batch, "text", 1 << 20):
+            for piece in tx.slices(batch, "text", POOL_BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(model.value.score(pooled(piece.column("text"), model.value.contexts)))], ["doc_id", "score"])
 
     return run
@@ -185,7 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, rows: i
 def _keeper(model, cut: float, text_col: str):
     def run(batches):
         for batch in batches:
-            for piece in tx.slices(batch, text_col, 1 << 20):
+            for piece in tx.slices(batch, text_col, POOL_BYTES):
                 yield piece.filter(pa.array(model.value.score(pooled(piece.column(text_col), model.value.contexts)) >= cut))
 
     return run

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from . import tokens
 
 LOCAL_FOLDER = "/tmp/checkpoints/tsengine"
 
@@ -61,8 +62,10 @@ def _trim() -> None:
         trim(0)
 
 
-def _tidy(function):
+def _tidy(function, encodes: bool):
     def run(batches):
+        if not encodes:
+            tokens.forget()
         try:
             yield from function(batches)
         finally:
@@ -72,13 +75,20 @@ def _tidy(function):
 
 
 #: Rows of a batch that goes to a worker, where the session leaves Spark's default: texts of kilobytes then make batches
-#: of megabytes, of which JVM and worker hold several.
+#: of megabytes, of which JVM and worker hold several. Long texts are bounded by their bytes.
 BATCH_ROWS, BATCH_SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_SETTING = str(4 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow whose workers can import this package."""
-    ship(df.sparkSession)
-    if df.sparkSession.conf.get(BATCH_SETTING) == "10000":
-        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
-    return df.mapInArrow(_tidy(function), schema)
+def arrow_map(df: DataFrame, function, schema, encodes: bool = False) -> DataFrame:
+    """mapInArrow whose workers can import this package.
+
+    Only a function that encodes keeps its worker's tokenizer; the next task of another kind forgets it.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    if spark.conf.get(BYTES_SETTING, None) is None:
+        spark.conf.set(BYTES_SETTING, BATCH_BYTES)
+    return df.mapInArrow(_tidy(function, encodes), schema)

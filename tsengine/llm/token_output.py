@@ -62,7 +62,7 @@ def _counter(batches):
 def token_table(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, and each text's ids with the end id as little-endian integers of width bytes."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(texts, _encoder(name, end_id), "doc_id long, width int, ids binary")
+    return arrow_map(texts, _encoder(name, end_id), "doc_id long, width int, ids binary", encodes=True)
 
 
 def _blocks(lengths):

@@ -106,6 +106,11 @@ def word_ids(words: list[str], name: str) -> list[bytes]:
     return _open[name].many(words)
 
 
+def forget() -> None:
+    """Let go of the vocabularies and words of this process."""
+    _open.clear()
+
+
 def _words(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Index of each word among the distinct ones, the rows' offsets into the words, ids of the distinct ones."""
     lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
