@@ -6,6 +6,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,13 @@ def test_tasks_that_do_not_encode_forget_the_tokenizer():
     assert list(staging._tidy(lambda batches: batches, False)([1])) == [1] and not tokens._open
 
 
+def test_staged_files_start_no_processes(spark):
+    # files of the checked local file system, which starts a process for each, have checksums beside them
+    staged = staging.stage(spark.range(0, 100, 1, 4), "test-stage")
+    folder = Path(staged.inputFiles()[0].removeprefix("file:")).parent
+    assert staged.count() == 100 and len(list(folder.glob("part-*"))) == 4 and not list(folder.glob(".*.crc"))
+
+
 def test_batches_of_long_texts_are_bounded_by_bytes(spark):
     docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('long text ', 10000)").alias("text"))
 
